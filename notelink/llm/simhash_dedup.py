@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import column, components, dealt, runs, table, written
 
 SEED, BITS, RADIUS, WORDS = 42, 64, 3, 3
+STAGE_WORDS = 5
 LARGE_BUCKET = 2048
 ROW_COST, PAIR_COST = 1.0, 0.01  # a filed or probing row against a compared pair
 
