@@ -42,14 +42,22 @@ def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
 
-@F.pandas_udf(T.StringType())
-def fold_marks(s: pd.Series) -> pd.Series:
-    """Decomposed, without combining marks, the barred d as d."""
-    def one(x: str) -> str:
-        d = unicodedata.normalize("NFD", x.replace("đ", "d").replace("Đ", "D"))
-        return "".join(c for c in d if unicodedata.category(c) != "Mn")
+def _folding() -> tuple[str, str]:
+    """Precomposed Latin letters whose decomposition is one ASCII letter and marks, and those letters."""
+    pairs = [("đ", "d"), ("Đ", "D")]
+    for cp in range(0xC0, 0x1F00):
+        d = unicodedata.normalize("NFD", chr(cp))
+        if len(d) > 1 and d[0].isascii() and d[0].isalpha() and all(unicodedata.category(x) == "Mn" for x in d[1:]):
+            pairs.append((chr(cp), d[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _folding()
 
-    return s.map(lambda x: None if x is None else one(x))
+
+def fold_marks(c: Column) -> Column:
+    """Latin letters without their marks, the barred d as d; other combining marks go."""
+    return F.regexp_replace(F.translate(c, _ACCENTED, _PLAIN), r"\p{Mn}", "")
 
 
 def collapse(c: Column) -> Column:
@@ -114,14 +122,17 @@ def milligrams(value: Column, unit: Column) -> Column:
     return value * F.when(unit == "mcg", 0.001).when(unit.isin("g", "gm"), 1000.0).otherwise(1.0)
 
 
+# Frequency phrases with their code and hours between doses.
+FREQUENCIES = {"once daily": ("QD", 24), "twice daily": ("BID", 12), "daily": ("QD", 24), "qd": ("QD", 24), "qid": ("QID", 6), "tid": ("TID", 8), "bid": ("BID", 12), "qhs": ("QHS", 24), "qam": ("QAM", 24)}
+
+
 def frequency(c: Column) -> Column:
-    """``struct<code, hours>`` of a dosing frequency."""
+    """``struct<code, hours>`` of a dosing frequency: a phrase, the longest first, or else every so many hours."""
     t = F.lower(c)
     every = F.regexp_extract(t, r"\bq(\d+)h\b", 1)
-    # Hours between doses.
-    table = [("qid", 6), ("tid", 8), ("bid", 12), ("qd", 24), ("daily", 24)]
-    code, hours = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for word, h in reversed(table):
-        hit = t.rlike(rf"\b{word}\b")
-        code, hours = F.when(hit, word.upper()).otherwise(code), F.when(hit, h).otherwise(hours)
-    return F.struct(F.when(every != "", F.concat(F.lit("Q"), every, F.lit("H"))).otherwise(code).alias("code"), F.when(every != "", every.cast("int")).otherwise(hours).alias("hours"))
+    code, hours = F.when(every != "", F.concat(F.lit("Q"), every, F.lit("H"))), F.when(every != "", every.cast("int"))
+    for phrase in sorted(FREQUENCIES, key=len):
+        name, h = FREQUENCIES[phrase]
+        hit = t.rlike(rf"\b{phrase}\b")
+        code, hours = F.when(hit, name).otherwise(code), F.when(hit, h).otherwise(hours)
+    return F.struct(code.alias("code"), hours.alias("hours"))

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import drug as dg
 from ..functions import text as tx
+from ..operators import assertions as an
+from ..operators import drug_ranking as dr
 from ..operators import linking as ln
+from ..operators import output as ou
 from ..operators import spans as sp
 from ..operators import vocabulary as vo
 from ..streaming import cache as ca
@@ -280,6 +284,49 @@ def weighted_interval(spark, sf):
     return sp.schedule(v, "user_id")
 
 
+def _mentions(spark, sf):
+    n = F.col("p_size").cast("string")
+    return t(spark, sf, "part").select(F.col("p_partkey").alias("mention_id"), "p_size", F.concat(F.lit("Paracetamol "), n, F.when(F.col("p_partkey") % 2 == 0, " mg viên nén po bid").otherwise(" mg/5 ml iv q6h")).alias("mention"))
+
+
+@query("""SELECT p_partkey AS mention_id, 'acetaminophen' AS core, p_size || CASE WHEN p_partkey % 2 = 0 THEN ' MG' ELSE ' MG/5 ML' END AS strengths, CASE WHEN p_partkey % 2 = 0 THEN 'oral tablet' ELSE '' END AS forms,
+CASE WHEN p_partkey % 2 = 0 THEN 'PO' ELSE 'IV' END AS route, CASE WHEN p_partkey % 2 = 0 THEN 'BID' ELSE 'Q6H' END AS frequency, CASE WHEN p_partkey % 2 = 0 THEN 12 ELSE 6 END AS hours, CASE WHEN p_partkey % 2 = 0 THEN 'full_product' ELSE 'ingredient_strength' END AS specificity,
+'acetaminophen ' || p_size || CASE WHEN p_partkey % 2 = 0 THEN ' mg oral tablet' ELSE ' mg/5 ml' END AS normalized FROM part""")
+def drug_parse(spark, sf):
+    d = dg.parse_mentions(_mentions(spark, sf), "mention")
+    p = F.col("parsed")
+    return d.select("mention_id", p["core"].alias("core"), F.array_join(p["strengths"], ";").alias("strengths"), F.array_join(p["dose_forms"], ";").alias("forms"), p["route"].alias("route"), p["frequency"].alias("frequency"), p["interval_hours"].alias("hours"), p["specificity"].alias("specificity"), p["normalized"].alias("normalized"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS mention_id, p_size, k FROM part, (SELECT unnest(['1', '2', '3']) AS k) WHERE p_partkey % 2 = 0)
+SELECT mention_id, k AS rxcui, CAST(k AS INTEGER) AS rank, CASE k WHEN '1' THEN 'strong' WHEN '2' THEN 'weak' ELSE 'rejected' END AS level,
+round(CASE k WHEN '1' THEN 0.28 * 0.5 + 0.12 * 0.5 + 0.30 + 0.13 + 0.06 + 0.10 + 0.13 WHEN '2' THEN 0.28 * 0.5 + 0.12 * 0.5 + 0.30 - 0.05 - 0.01 - 0.08 ELSE -1 + 0.005 END, 6) AS score FROM c""")
+def drug_rank(spark, sf):
+    none = F.array().cast("array<string>")
+    m = dg.parse_mentions(_mentions(spark, sf).where("mention_id % 2 = 0"), "mention")
+    strength = F.concat((F.col("p_size") + F.when(F.col("rxcui") == "3", 1).otherwise(0)).cast("string"), F.lit(" MG"))
+    c = m.withColumn("rxcui", F.explode(F.array(*map(F.lit, "123")))).withColumn("tty", F.when(F.col("rxcui") == "2", "IN").otherwise("SCD"))
+    c = c.withColumn("bare", F.col("tty") == "IN").select("*", F.when(F.col("bare"), "acetaminophen").otherwise(F.concat(F.lit("acetaminophen "), strength, F.lit(" Oral Tablet"))).alias("name"), F.array(F.lit("acetaminophen")).alias("ingredients"), none.alias("brands"), F.when(F.col("bare"), none).otherwise(F.array(strength)).alias("cand_strengths"), F.when(F.col("bare"), none).otherwise(F.array(F.lit("Oral Tablet"))).alias("cand_forms"), none.alias("cand_releases"), none.alias("current"))
+    c = c.select("*", F.lit(0.5).alias("dense"), F.lit(0.5).alias("lexical"), *[F.lit(v).alias(k) for k, v in {"exact_term": False, "structured": False, "active": True, "historical": False}.items()])
+    return dr.rank_drugs(c).select("mention_id", "rxcui", "rank", "level", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT doc_id, CASE CAST(doc_id % 4 AS INTEGER) WHEN 0 THEN 'direct' WHEN 1 THEN 'direct' WHEN 2 THEN 'blocked' ELSE 'absent' END AS scope FROM documents""")
+def negation_scope(spark, sf):
+    lead = F.element_at(F.array(*map(F.lit, ["không ghi nhận co giật, ", "bệnh nhân không ", "không đáp ứng điều trị ", "bệnh nhân có "])), (F.col("doc_id") % 4 + 1).cast("int"))
+    d = t(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(". "), lead).alias("before")).withColumn("raw", F.concat("before", F.lit("sốt")))
+    start = F.length("before")
+    return d.select("doc_id", an.negation(F.col("raw"), start, start + 3, F.lit("sốt"), F.lit(an.SYMPTOM)).alias("scope"))
+
+
+@query("""SELECT doc_id AS record_id, 0 AS start, 5 AS "end", CASE WHEN doc_id % 3 = 0 THEN 'KHÁC' ELSE 'THUỐC' END AS type, CASE WHEN doc_id % 3 = 0 THEN 'unknown_type' ELSE 'text_is_not_slice' END AS rule FROM documents WHERE length(text) >= 5 AND doc_id % 3 < 2""")
+def output_violations(spark, sf):
+    d = t(spark, sf, "documents").where(F.length("text") >= 5)
+    third = F.col("doc_id") % 3
+    none = F.array().cast("array<string>")
+    return ou.violations(d.select(F.col("doc_id").alias("record_id"), F.col("text").alias("raw"), F.when(third == 1, "@@@@@").otherwise(F.substring("text", 1, 5)).alias("text"), F.when(third == 0, "KHÁC").otherwise(an.DRUG).alias("type"), none.alias("candidates"), none.alias("assertions"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit(0).alias("position")))
+
+
 @query()
 def bio_round_trip(spark, sf):
     d = t(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"))

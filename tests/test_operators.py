@@ -2,7 +2,12 @@ import itertools
 
 from pyspark.sql import functions as F
 
+from notelink.functions import drug as dg
+from notelink.functions import similarity as si
 from notelink.functions import text as tx
+from notelink.operators import assertions as an
+from notelink.operators import disease_ranking as di
+from notelink.operators import output as ou
 from notelink.operators import linking as ln
 from notelink.operators import spans as sp
 from notelink.operators import vocabulary as vo
@@ -62,3 +67,70 @@ def test_bio(spark):
 def test_occurrences(spark):
     df = spark.createDataFrame([("Không sốt. Hôm qua từng sốt.", "sốt")], "t string, n string")
     assert df.select(sp.occurrences(F.col("t"), F.col("n"))).first()[0] == [6, 24]
+
+
+def test_drug_parse(spark):
+    rows = ["acetaminophen 325-650 mg po q6h:prn", "guaifenesin ml po q6h:prn", "glucose 5%", "Augmentin (amoxicillin) 1 g tiêm tĩnh mạch", "amoxicillin và paracetamol", "kháng sinh", None]
+    got = [r.parsed for r in dg.parse_mentions(spark.createDataFrame([(x,) for x in rows], "m string").coalesce(1), "m").collect()]
+    assert (got[0].strengths, got[0].strength_role, got[0].route, got[0].interval_hours) == (["325-650 MG"], "range", "PO", 6)
+    assert got[1].core == "guaifenesin" and "liquid_form_hint" in [v.source for v in got[1].variants]
+    assert got[2].strengths == ["5 PERCENT", "50 MG/ML"]
+    assert (got[3].core, got[3].brands, got[3].route) == ("amoxicillin", ["augmentin"], "IV")
+    assert got[4].components == ["amoxicillin", "acetaminophen"] and "multi_ingredient_mention" in got[4].warnings
+    assert got[5].warnings == ["generic_drug_class"] and got[6].warnings == ["missing_ingredient"]
+
+
+def test_pack_quantity(spark):
+    p = spark.createDataFrame([("{24 (drug A Oral Tablet) / 4 (inert Oral Tablet) } Pack", x) for x in ("drug A", "inert", "none")], "n string, i string")
+    assert [r[0] for r in p.select(dg.pack_quantity(F.col("n"), F.col("i"))).collect()] == [24.0, 4.0, None]
+
+
+def test_similarity():
+    def lcs(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    words = ["", "a", "amlodipine", "amlodipin", "amiodarone", "aspirin", "abcabcabc", "cbacba"]
+    for a, b in itertools.product(words, words):
+        assert abs(si.indel_ratio(a, b) - (2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0)) < 1e-12
+    assert si.guarded_ratio("vitamin 3b", "vitamin k3") == 0.0 and si.token_set_ratio("b a", "a b c") == 1.0
+
+
+def test_disease_rank(spark):
+    m = "tăng huyết áp vô căn"
+    rows = [(1, m, "I10", "Tăng huyết áp vô căn (nguyên phát)", "preferred", 0.9, 3, None), (1, m, "I1", "Tăng huyết áp vô căn", "preferred", 0.8, 1, None), (1, m, "Z03", "khong tang", "alias", 0.7, 1, None)]
+    got = di.rank_diseases(spark.createDataFrame(rows, "mention_id long, mention string, code string, term string, term_type string, aggregate_score double, query_variants long, alias_source string")).orderBy("rank").collect()
+    assert [(r.code, r.level) for r in got] == [("I1", "exact"), ("I10", "strong"), ("Z03", "rejected")]
+    assert got[0].has_descendants and len(got[2].conflicts) == 2
+
+
+def test_negation(spark):
+    cases = [("Không ghi nhận vã mồ hôi, run tay hay choáng váng", ["vã mồ hôi", "run tay", "choáng váng"], ["direct"] * 3), ("phủ nhận sốt nhưng có đau đầu", ["sốt", "đau đầu"], ["direct", "blocked"]), ("không sốt, đau ngực", ["sốt", "đau ngực"], ["direct", "blocked"]), ("sốt", ["sốt"], ["absent"])]
+    for raw, texts, want in cases:
+        d = spark.createDataFrame([(raw, raw.index(x), raw.index(x) + len(x), x, an.SYMPTOM) for x in texts], "raw string, start int, end int, text string, type string").coalesce(1)
+        got = [r[0] for r in d.select(an.negation(F.col("raw"), F.col("start"), F.col("end"), F.col("text"), F.col("type"))).collect()]
+        assert got == want, raw
+
+
+def test_assertions(spark):
+    raw = "Mẹ của bệnh nhân bị hen. Trước đây từng viêm phổi. Hiện tại sốt."
+    rows = [(raw, raw.index(x), raw.index(x) + len(x), x, k, "unknown", [an.HISTORICAL]) for x, k in [("hen", an.DISEASE), ("viêm phổi", an.DISEASE), ("sốt", an.SYMPTOM), ("sốt", an.TEST)]]
+    d = spark.createDataFrame(rows, "raw string, start int, end int, text string, type string, section string, assertions array<string>").coalesce(1)
+    assert [r.assertions for r in an.repaired(d).collect()] == [[an.HISTORICAL, an.FAMILY], [an.HISTORICAL], [], []]
+    gate = spark.createDataFrame([("viên", an.DRUG), ("500 mg", an.DRUG), ("uống ngày 2 lần", an.DRUG), ("stent mạch vành", an.DISEASE), ("aspirin", an.DRUG)], "t string, k string").coalesce(1)
+    assert [r[0] for r in gate.select(an.linkable(F.col("t"), F.col("k"))).collect()] == [False, False, False, False, True]
+
+
+def test_output(spark):
+    schema = "record_id string, raw string, text string, type string, candidates array<string>, assertions array<string>, start int, end int, position int"
+    good = [("r", "đau đầu, aspirin", "đau đầu", an.SYMPTOM, [], [an.NEGATED], 0, 7, 0), ("r", "đau đầu, aspirin", "aspirin", an.DRUG, ["1191"], [], 9, 16, 1)]
+    assert ou.violations(spark.createDataFrame(good, schema)).count() == 0
+    bad = [("r", "abc", "ab", an.TEST, ["1", "1"], ["x"], 0, 3, 0), ("r", "abc", "abcd", an.DRUG, ["1", "2", "3"], [], -1, 4, 1)]
+    rules = {r.rule for r in ou.violations(spark.createDataFrame(bad, schema)).collect()}
+    assert {"repeated_code", "codes_on_unlinked_type", "unknown_assertion", "assertion_on_other_type", "text_is_not_slice", "too_many_codes", "bad_offsets", "unsorted", "past_end"} <= rules
+    assert ou.record_json(spark.createDataFrame(good[::-1], schema)).first().json.startswith('[{"text":"đau đầu","type":"TRIỆU_CHỨNG","candidates":[],"assertions":["isNegated"],"position":[0,7]}')
+    j = spark.createDataFrame([('Here:\n```json\n{"a": [1, 2,],}\n```',), ("none",)], "s string").coalesce(1)
+    assert [r[0] and r[0].a for r in j.select(ou.tolerant_json(F.col("s"), "a array<int>")).collect()] == [[1, 2], None]
