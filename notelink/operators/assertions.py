@@ -115,11 +115,11 @@ def negation(raw: Column, start: Column, end: Column, text: Column, kind: Column
 
 def about_family(raw: Column, start: Column, section: Column) -> Column:
     s = sentence_before(raw, start)
-    return (F.coalesce(section, F.lit("")) == "family") | s.rlike(_word(RELATIVE)) | s.rlike(_word(FAMILY_HISTORY))
+    return (F.coalesce(section, F.lit("")) == "family_history") | s.rlike(_word(RELATIVE)) | s.rlike(_word(FAMILY_HISTORY))
 
 
 def history(raw: Column, start: Column, text: Column, section: Column, heading: Column | None = None) -> Column:
-    """``struct<historical, current>`` by cues in the sentence and clause and by the kind of section (historical, family, current, general or unknown).
+    """``struct<historical, current>`` by cues in the sentence and clause and by the kind of section (historical, family_history, current, general or unknown).
 
     Under the heading of a user's question a mention without a cue is neither.
     """
@@ -130,8 +130,8 @@ def history(raw: Column, start: Column, text: Column, section: Column, heading:
     family = s.rlike(_word(FAMILY_HISTORY))
     past = s.rlike(_word(PAST)) | family | c.rlike(r"(?iU)\b(?:sau|hậu)$")
     of_patient = past & (family | s.rlike(_word(PATIENT)))
-    old = F.when(kind == "historical", ~reset).when(kind == "family", True).when(kind == "general", of_patient).otherwise(past)
-    current = F.when(kind == "historical", reset).when(kind == "family", False).when((kind == "current") | ((kind == "general") & ~asked), now | ~old).otherwise(now)
+    old = F.when(kind == "historical", ~reset).when(kind == "family_history", True).when(kind == "general", of_patient).otherwise(past)
+    current = F.when(kind == "historical", reset).when(kind == "family_history", False).when((kind == "current") | ((kind == "general") & ~asked), now | ~old).otherwise(now)
     return F.struct(old.alias("historical"), current.alias("current"))
 
 

@@ -58,17 +58,25 @@ def inner(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(queries: DataFrame, index: DataFrame, query: str, code: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+def nearest(queries: DataFrame, index: DataFrame, query: str, code: str, vector: str, k: int, block: int = 4096, shards: int = 64) -> DataFrame:
     """The ``k`` nearest by inner product of unit vectors.
 
-    Queries are gathered into rows of ``block`` (a bound), each index row meets each
-    such block once, and only the best ``k`` of a partition move.
+    Up to ``block`` queries are sent to all tasks.  More are dealt into blocks and the
+    index into ``shards``; each block meets each shard in one bucket of an equi-join,
+    and only the best ``k`` of a bucket go on.
     """
     q = queries.select(F.col(query).alias("q"), unit(F.col(vector)).alias("qv"))
     x = index.select(F.col(code).alias("code"), unit(F.col(vector)).alias("xv"))
-    scored = q.hint("broadcast").join(x) if queries.count() <= block else q.crossJoin(x)
-    scored = scored.select("q", "code", inner(F.col("qv"), F.col("xv")).alias("score"))
-    return ranked(scored, ["q"], [F.col("score").desc(), F.col("code")], k)
+    score = inner(F.col("qv"), F.col("xv")).alias("score")
+    best = [F.col("score").desc(), F.col("code")]
+    n = queries.count()
+    if n <= block:
+        return ranked(q.hint("broadcast").join(x).select("q", "code", score), ["q"], best, k)
+    blocks = -(-n // block)
+    q = q.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    x = x.withColumn("s", F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    part = ranked(q.join(x, ["b", "s"]).select("q", "s", "code", score), ["q", "s"], best, k).drop("rank")
+    return ranked(part.select("q", "code", "score"), ["q"], best, k)
 
 
 def support_level(score: Column, exact: Column) -> Column:

@@ -52,7 +52,9 @@ def schedule(df: DataFrame, key: str, more_spans: bool = True) -> DataFrame:
     """The set of disjoint spans with the greatest sum of ``score ** 3`` within each key.
 
     Ties go to more spans, or with ``more_spans`` off to fewer, then to the earlier set.
-    Columns ``start, end, score`` are read; rows come back whole.
+    Columns ``start, end, score`` are read; rows come back whole.  Spans that no chain
+    of overlaps joins never bear on each other, so each such stretch is a task of its own
+    and a long record is not held whole.
     """
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["end", "start", "score"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
@@ -75,7 +77,8 @@ def schedule(df: DataFrame, key: str, more_spans: bool = True) -> DataFrame:
                 i -= 1
         return pdf.iloc[keep[::-1]]
 
-    return df.groupBy(key).applyInPandas(best, df.schema)
+    apart = islands(df, [key], "start", "end", -1)
+    return apart.groupBy(key, "island").applyInPandas(lambda pdf: best(pdf.drop(columns="island")), df.schema)
 
 
 def bio_tags(words: DataFrame, entities: DataFrame, key: str) -> DataFrame:

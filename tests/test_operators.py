@@ -8,10 +8,14 @@ from notelink.functions import text as tx
 from notelink.operators import assertions as an
 from notelink.operators import disease_ranking as di
 from notelink.operators import output as ou
+from notelink.operators import batching as ba
 from notelink.operators import linking as ln
+from notelink.operators import notes as no
 from notelink.operators import spans as sp
 from notelink.operators import vocabulary as vo
+from notelink.sources import sinks
 from notelink.sources import tables as src
+from notelink.streaming import cache as ca
 
 
 def test_text(spark):
@@ -134,3 +138,76 @@ def test_output(spark):
     assert ou.record_json(spark.createDataFrame(good[::-1], schema)).first().json.startswith('[{"text":"đau đầu","type":"TRIỆU_CHỨNG","candidates":[],"assertions":["isNegated"],"position":[0,7]}')
     j = spark.createDataFrame([('Here:\n```json\n{"a": [1, 2,],}\n```',), ("none",)], "s string").coalesce(1)
     assert [r[0] and r[0].a for r in j.select(ou.tolerant_json(F.col("s"), "a array<int>")).collect()] == [[1, 2], None]
+
+
+def test_sections(spark):
+    a = "Mở đầu\nTiền sử bệnh: hen\n2. Tiền sử bệnh hiện tại\nsốt\nKhám tại bệnh viện: ổn"
+    b = "Câu hỏi: tôi đau?\nTrả lời: nghỉ"
+    d = spark.createDataFrame([(1, a), (2, b), (3, None), (4, "không có gì")], "id long, t string")
+    got = no.sections(d, "id", "t").orderBy("id", "block").collect()
+    assert [(r.id, r.section_no) for r in got] == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 4), (3, 0), (4, 0)]
+    assert "".join(r.body for r in got if r.id == 1) == a and all(r.body == (a if r.id == 1 else b)[r.start : r.end] for r in got if r.id < 3)
+
+
+def test_scopes(spark):
+    t = "x\nTiền sử bệnh: hen\nLý do vào viện: sốt\nTiền sử gia đình: tim\n1. amlodipine 10 mg po\n2. Lời dặn\n- nên nghỉ"
+    got = no.scope_blocks(spark.createDataFrame([(1, t), (2, None)], "id long, t string"), "id", "t").orderBy("id", "start").collect()
+    assert [r.kind for r in got] == ["unknown", "historical", "current", "family_history", "general", "general", "unknown"]
+    assert "".join(t[r.start : r.end] for r in got if r.id == 1) == t
+
+
+def test_medication_list(spark):
+    t = "Danh sách thuốc trước nhập viện:\n1. amlodipine 10 mg po daily điều trị tăng huyết áp\n2. aspirin 81 mg"
+    got = no.medication_list(spark.createDataFrame([(1, t), (2, "1. x"), (3, None)], "id long, t string"), "id", "t").orderBy("start").collect()
+    assert [r.text for r in got] == ["amlodipine 10 mg po daily", "aspirin 81 mg"] and all(t[r.start : r.end] == r.text for r in got)
+
+
+def test_joined_names(spark):
+    lex = spark.createDataFrame([("doxycycline", "doxycycline"), ("bactrim", "bactrim"), ("nitro", "nitro"), ("glycerin", "glycerin"), ("nitroglycerin", "nitroglycerin"), ("aspirin", "aspirin")], "compact string, term string")
+    m = spark.createDataFrame([(1, "doxycyclinebactrim"), (2, "nitroglycerin"), (3, "aspirin oral"), (4, "zzz")], "id long, n string")
+    assert {r.id: r.parts for r in no.split_joined(m, lex, "id", "n").collect()} == {1: ["doxycycline", "bactrim"], 3: ["aspirin"]}
+
+
+def test_nearest_in_blocks(spark):
+    import random
+
+    rnd = random.Random(1)
+    rows = [(i, [rnd.random() for _ in range(4)]) for i in range(60)]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    one = {tuple(r) for r in ln.nearest(d.where("id < 20"), d, "id", "id", "v", 3).select("q", "code", "rank").collect()}
+    many = {tuple(r) for r in ln.nearest(d.where("id < 20"), d, "id", "id", "v", 3, block=7, shards=3).select("q", "code", "rank").collect()}
+    assert one == many and len(one) == 60
+
+
+def test_prompt_batches(spark):
+    d = spark.createDataFrame([(i, 10 + i * 37 % 2000) for i in range(200)], "id long, n int")
+    got = ba.pack_prompts(d, "id", "n", batch_size=12, output_tokens=100, most_tokens=8192).collect()
+    assert sorted(r.id for r in got) == list(range(200))
+    for _, g in itertools.groupby(sorted(got, key=lambda r: r.batch), key=lambda r: r.batch):
+        ns = [r.n for r in g]
+        assert len(ns) <= 12 and (len(ns) == 1 or (max(ns) + 100) * len(ns) <= 8192)
+
+
+def test_cached_answers(spark):
+    r = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "y"), ("c", "bad")], "request_id string, prompt string")
+    c = spark.createDataFrame([("a", "old"), ("b", None)], "request_id string, answer string")
+    out, fresh = ba.answer(r, c, lambda xs: [None if x == "bad" else x.upper() for x in xs])
+    assert sorted((x.request_id, x.answer or "") for x in out.collect()) == [("a", "old"), ("b", "Y"), ("b", "Y"), ("c", "")]
+    assert [x.request_id for x in fresh.collect()] == ["b"]
+
+
+def test_sinks(spark, tmp_path):
+    d = spark.range(10)
+    assert sinks.write_json_lines(d, str(tmp_path / "j")) == 10
+    keep, drop = sinks.split_rows(d, F.when(F.col("id") > 6, "big"), "keep", "drop", str(tmp_path / "s"))
+    assert keep.count() == 7 and sorted((r.id, r.reason) for r in drop.collect()) == [(7, "big"), (8, "big"), (9, "big")]
+    assert sinks.report(d, {"even": F.col("id") % 2 == 0}).first().asDict() == {"rows": 10, "even": 5}
+    assert all(len(r.sha256) == 64 for r in sinks.manifest(spark, str(tmp_path / "j")).collect())
+
+
+def test_stream_log(spark, tmp_path):
+    spark.createDataFrame([("a", 1, True), ("a", 2, True), ("b", 1, True)], "k string, n long, valid boolean").write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("k string, n long, valid boolean").parquet(str(tmp_path / "in"))
+    ca.keep_latest(s, str(tmp_path / "log"), str(tmp_path / "cp"), "k", "n").awaitTermination(60)
+    got = ca.last_write(spark.read.parquet(str(tmp_path / "log")).drop("batch"), "k", "n").collect()
+    assert {r.k: r.n for r in got} == {"a": 2, "b": 1}
