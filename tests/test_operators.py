@@ -8,6 +8,7 @@ from notelink.functions import text as tx
 from notelink.operators import assertions as an
 from notelink.operators import disease_ranking as di
 from notelink.operators import output as ou
+from notelink.operators import repairs as re_
 from notelink.operators import batching as ba
 from notelink.operators import linking as ln
 from notelink.operators import notes as no
@@ -211,3 +212,23 @@ def test_stream_log(spark, tmp_path):
     ca.keep_latest(s, str(tmp_path / "log"), str(tmp_path / "cp"), "k", "n").awaitTermination(60)
     got = ca.last_write(spark.read.parquet(str(tmp_path / "log")).drop("batch"), "k", "n").collect()
     assert {r.k: r.n for r in got} == {"a": 2, "b": 1}
+
+
+def test_repairs(spark):
+    S, D, R, T_ = an.SYMPTOM, an.DISEASE, an.RESULT, an.TEST
+    cases = [
+        ("Công thức máu: WBC:12,5; NEUT% (a):78,2; LYPH% (b):15,3", [("WBC:12,5; NEUT% (a):78,2; LYPH% (b):15,3", R, [])], [("WBC", T_, []), ("12,5", R, []), ("NEUT% (a)", T_, []), ("78,2", R, []), ("LYPH% (b)", T_, []), ("15,3", R, [])]),
+        ("phủ nhận sốt nhưng có đau đầu", [("sốt", S, []), ("đau đầu", S, [])], [("sốt", S, [an.NEGATED]), ("đau đầu", S, [])]),
+        ("không ho, hen (J45.9)", [("không ho", S, []), ("hen (J45.9)", D, [an.HISTORICAL, an.NEGATED])], [("ho", S, [an.NEGATED]), ("hen", D, [an.NEGATED])]),
+        ("thiếu men G6PD, dị ứng thuốc", [("thiếu men G6PD", T_, [an.NEGATED]), ("dị ứng thuốc", S, [])], [("thiếu men G6PD", D, []), ("dị ứng thuốc", D, [])]),
+        ("sốt và sốt", [("sốt", S, [])] * 3 + [("ảo", S, [])], [("sốt", S, [])] * 2),
+        ("nhịp xoang 80", [("nhịp xoang 80", R, [])], [("nhịp xoang 80", R, [])]),
+        ("không có tiền sử lao", [("lao", D, [an.HISTORICAL])], [("lao", D, [an.NEGATED])]),
+        ("", [], []),
+    ]
+    d = spark.createDataFrame([(i, t, es, None) for i, (t, es, _) in enumerate(cases)] + [(98, "x", [("x", "?", [])], None), (99, "hen", [("hen", D, None)], "tien_su")], f"id int, input_text string, entities {re_.ENTITIES}, section string")
+    got = {r.id: r for r in re_.repaired_records(d).collect()}
+    for i, (_, _, want) in enumerate(cases):
+        assert [(e.text, e.type, e.assertions) for e in got[i].entities] == want, i
+    assert got[98].reason == "unknown_type" and got[5].log == [] and "split_lab" in got[0].log
+    assert got[99].entities[0].assertions == [an.HISTORICAL] and got[99].log == ["history_section"]
