@@ -164,7 +164,9 @@ def repaired_records(records: DataFrame, rules: list[Rule] = RULES) -> DataFrame
     """Adds ``reason`` (null if kept) and ``log``, the rules that changed a record, in order; ``entities`` are the repaired ones.
 
     Columns ``input_text``, ``entities`` and ``section`` (null if unknown) are read.
-    Null assertions are as none; records with a reason keep their entities.
+    Null assertions are as none; records with a reason keep their entities.  Write the
+    result before single fields of ``entities`` are selected: pruned to one field, the
+    plan doubles at every rule and planning takes minutes.
     """
     es = F.transform("entities", lambda e: entity(e["text"], e["type"], F.coalesce(e["assertions"], _none())))
     d = records.withColumn("entities", es.cast(ENTITIES)).withColumn("reason", reject_reason(F.col("entities"))).withColumn("log", _none())

@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..operators import assertions as an
 from ..operators import drug_ranking as dr
 from ..operators import linking as ln
+from ..operators import notes as no
 from ..operators import output as ou
 from ..operators import spans as sp
 from ..operators import vocabulary as vo
@@ -327,6 +328,14 @@ def output_violations(spark, sf):
     return ou.violations(d.select(F.col("doc_id").alias("record_id"), F.col("text").alias("raw"), F.when(third == 1, "@@@@@").otherwise(F.substring("text", 1, 5)).alias("text"), F.when(third == 0, "KHÁC").otherwise(an.DRUG).alias("type"), none.alias("candidates"), none.alias("assertions"), F.lit(0).alias("start"), F.lit(5).alias("end"), F.lit(0).alias("position")))
 
 
+@query("""WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(13), ' ') AS x FROM documents), h AS (SELECT doc_id, 'Tiền sử bệnh: ' || x || chr(10) AS a, 'Khám tại bệnh viện: ' || x AS b FROM d)
+SELECT doc_id, 0 AS block, 1 AS section_no, 0 AS start, length(a) AS "end", md5(a) AS body FROM h UNION ALL SELECT doc_id, 1, 3, length(a), length(a) + length(b), md5(b) FROM h""")
+def note_sections(spark, sf):
+    x = F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" "))
+    d = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("Tiền sử bệnh: "), x, F.lit("\nKhám tại bệnh viện: "), x).alias("raw"))
+    return no.sections(d, "doc_id", "raw").select("doc_id", "block", "section_no", "start", "end", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
 @query()
 def bio_round_trip(spark, sf):
     d = t(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("w"))
