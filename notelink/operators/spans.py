@@ -53,8 +53,8 @@ def schedule(df: DataFrame, key: str, more_spans: bool = True) -> DataFrame:
 
     Ties go to more spans, or with ``more_spans`` off to fewer, then to the earlier set.
     Columns ``start, end, score`` are read; rows come back whole.  Spans that no chain
-    of overlaps joins never bear on each other, so each such stretch is a task of its own
-    and a long record is not held whole.
+    of overlaps joins never bear on each other, so a long record is cut into pieces of
+    1024 such stretches and never held whole.
     """
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["end", "start", "score"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
@@ -78,7 +78,8 @@ def schedule(df: DataFrame, key: str, more_spans: bool = True) -> DataFrame:
         return pdf.iloc[keep[::-1]]
 
     apart = islands(df, [key], "start", "end", -1)
-    return apart.groupBy(key, "island").applyInPandas(lambda pdf: best(pdf.drop(columns="island")), df.schema)
+    pieces = apart.withColumn("island", F.floor(F.col("island") / 1024))
+    return pieces.groupBy(key, "island").applyInPandas(lambda pdf: best(pdf.drop(columns="island")), df.schema)
 
 
 def bio_tags(words: DataFrame, entities: DataFrame, key: str) -> DataFrame:
