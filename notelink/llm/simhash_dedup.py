@@ -164,19 +164,22 @@ def _file(chosen: list[tuple[int, int]]):
 def _forest(own: np.ndarray, probe: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Spanning edges of the links among ``own`` and between ``own`` and ``probe``."""
     out: list[tuple[int, int]] = []
-    left = np.concatenate([own, probe])
-    real = np.concatenate([np.ones(len(own), bool), np.zeros(len(probe), bool)])
-    while len(left) > 1 and real.any():
-        start = int(np.argmax(real))
-        todo = [left[start]]
-        left, real = np.delete(left, start), np.delete(real, start)
-        while todo and len(left):
-            x = todo.pop()
-            near = np.bitwise_count(left ^ x) <= radius
+    while len(own):
+        todo, own = [(own[0], True)], own[1:]
+        while todo and len(own) + len(probe):
+            x, filed = todo.pop()
+            near = np.bitwise_count(own ^ x) <= radius
+            if near.any():
+                out += [(int(x), int(y)) for y in own[near]]
+                todo += [(y, True) for y in own[near]]
+                own = own[~near]
+            if not filed:
+                continue  # probes meet each other where one of them is filed
+            near = np.bitwise_count(probe ^ x) <= radius
             if near.any():
-                out += [(int(x), int(y)) for y in left[near]]
-                todo += list(left[near & real])  # a probe's own links are found where it is filed
-                left, real = left[~near], real[~near]
+                out += [(int(x), int(y)) for y in probe[near]]
+                todo += [(y, False) for y in probe[near]]  # another filed one may link with it only
+                probe = probe[~near]
     return out
 
 

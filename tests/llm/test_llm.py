@@ -104,6 +104,35 @@ def test_simhash_dense(spark):
     assert len(set(got.values())) == sum(len(g) > 1 for g in groups.values())
 
 
+@pytest.mark.parametrize("t", [1, 2])
+def test_simhash_probes(spark, monkeypatch, t):
+    """A probe linked with two filed fingerprints that are not linked with each other keeps both links."""
+    parts = [sum(1 << b for b in range(16 * k, 16 * k + 16)) for k in (0, 2, 3)]
+    monkeypatch.setattr(simhash_dedup, "plan", lambda *_: [(m, k) for m, k in zip(parts, [t, *[0] * (3 - t)], strict=False)])
+    at = lambda *bits: sum(1 << b for b in bits)
+    b, p = 0, at(0, 32, 48)
+    fps = [b, p, p ^ at(0, 33, 49), b ^ at(0, 34, 50)]
+    rng = np.random.default_rng(t)
+    for base in rng.integers(0, 2**62, 40):  # chains of steps of up to three bits
+        for _ in range(12):
+            base = int(base) ^ at(*map(int, rng.choice(62, rng.integers(1, 4), replace=False)))
+            fps.append(base)
+    fps = sorted(set(fps))
+    roots = brute_components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    want = {f: fps[r] for f, r in zip(fps, roots, strict=True)}
+    got = {r.node: r.root for r in simhash_dedup.near_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_simhash_forest():
+    """Every filed fingerprint that a probe links with is joined with it, whichever is met first."""
+    p = 1 | 1 << 32 | 1 << 48
+    filed = [p ^ (1 | 1 << 33 | 1 << 49), 0]
+    for own in (filed, filed[::-1]):
+        got = simhash_dedup._forest(np.array(own, np.uint64), np.array([p, 1 | 1 << 34 | 1 << 50], np.uint64), 3)
+        assert {frozenset(e) for e in got} == {frozenset(e) for e in [(filed[0], p), (0, p), (0, 1 | 1 << 34 | 1 << 50)]}
+
+
 def test_thresholds():
     cost, ts = simhash_dedup.thresholds([[0, 1, 5, 9], [0, 100, 500, 900], [0, 2, 3, 50]], 4)
     assert sum(t + 1 for t in ts) == 4 and cost == 8 and ts == [1, -1, 1]
