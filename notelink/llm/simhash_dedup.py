@@ -18,8 +18,12 @@ same principle on its other bits.  A star contraction joins the forests.
 
 Defined cases: a null, empty or white-space text has fingerprint zero and links like
 any other; fewer than ``words`` words make one shingle; repeated rows link; a null
-id joins its group but never names it; an empty table gives an empty result; other
-columns pass through :func:`keep_one`.
+id joins its group but never names it; an empty table gives an empty result.
+
+:func:`keep_one`, the stage of the pipeline, takes documents whose sets of word shingles
+have a Jaccard similarity of 0.8 or more.  Such pairs differ in about ten bits of 64, more
+than partitions can search, so min-hash bands give its candidates (a pair at 0.8 is missed
+with odds of 3 in a million) and the sets themselves decide.  Other columns pass through.
 """
 
 from __future__ import annotations
@@ -32,22 +36,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, components, dealt, runs, table, written
+from .common import column, components, dealt, runs, sliced, table, value, written
 
 SEED, BITS, RADIUS, WORDS = 42, 64, 3, 3
-STAGE_WORDS = 5
+STAGE_WORDS, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS, VERIFY_BLOCK = 32, 5, 1024
 LARGE_BUCKET = 2048
 ROW_COST, PAIR_COST = 1.0, 0.01  # a filed or probing row against a compared pair
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The signed 64-bit fingerprint; bytes are split and lower-cased as ASCII only."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every word shingle, in order; bytes are split and lower-cased as ASCII only."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(w) <= words:
         shingles = [b" ".join(w)]
     elif words == 3:
@@ -55,7 +59,14 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     else:
         shingles = [b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)]
     of = xxhash.xxh64_intdigest
-    h = np.array([of(s, SEED) for s in shingles], dtype="<u8")
+    return np.array([of(s, SEED) for s in shingles], dtype="<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The signed 64-bit fingerprint."""
+    h = shingle_hashes(text, words)
+    if not len(h):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for lo in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -260,13 +271,105 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; of equal rows one stays."""
-    groups = simhash_groups(docs, id_col, text_col, words, radius)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__nl_id")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__nl_id")), "left_semi")
-    w = W.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text_col)))
-    return kept.withColumn("__nl_rn", F.row_number().over(w)).where("__nl_rn = 1").drop("__nl_rn")
+def _bands(h: np.ndarray) -> list[int]:
+    """One value a band of ``BAND_ROWS`` least hashes; sets of similarity s share one with 1 - (1 - s^5)^32."""
+    if not len(h):
+        return []
+    rng = np.random.default_rng(SEED)
+    salt, odd = (rng.integers(0, 1 << 64, BANDS * BAND_ROWS, dtype=np.uint64) for _ in range(2))
+    odd |= np.uint64(1)
+    least = np.full(len(salt), np.iinfo(np.uint64).max)
+    for lo in range(0, len(h), 2048):
+        least = np.minimum(least, ((h[lo : lo + 2048, None] ^ salt) * odd).min(axis=0))
+    rows = least.astype("<u8").reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
+def _sets(words: int):
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, words)) for t in column(b, "text").to_pylist()]
+            nodes = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([column(b, "row"), column(b, "id"), column(b, "th"), nodes, pa.array([_bands(h) for h in sets], pa.list_(pa.int64()))], names=["row", "id", "th", "node", "bands"])
+
+    return fn
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Spanning edges of the pairs of sets whose Jaccard similarity is ``similarity`` or more."""
+    size = np.array([len(h) for h in sets])
+    values, term = np.unique(np.concatenate(sets), return_inverse=True)
+    doc = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(term, kind="stable")
+    posted, start = doc[order], np.searchsorted(term[order], np.arange(len(values) + 1))
+    own = np.split(term, np.cumsum(size)[:-1])
+    left, out = np.ones(len(sets), dtype=bool), []
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        left[first], todo = False, [first]
+        while todo and left.any():
+            x = todo.pop()
+            lo, n = start[own[x]], start[own[x] + 1] - start[own[x]]
+            if not len(n):
+                continue
+            ends = np.cumsum(n)
+            both = np.bincount(posted[np.repeat(lo - (ends - n), n) + np.arange(ends[-1])], minlength=len(sets))
+            near = np.flatnonzero(left & (both >= similarity * (size + size[x] - both) - 1e-9))
+            out += [(x, int(y)) for y in near]
+            todo += near.tolist()
+            left[near] = False
+    return out
+
+
+def _similar(words: int, similarity: float):
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nodes = np.concatenate([column(b, "node").to_numpy() for b in parts])
+        pairs = similar_forest([np.unique(shingle_hashes(t, words)) for b in parts for t in column(b, "text").to_pylist()], similarity)
+        at = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[at[:, 0]]), pa.array(nodes[at[:, 1]])], names=["a", "b"])
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+        for b in sliced(batches, ["root", "i", "j"]):
+            now = (value(b, "root"), value(b, "i"), value(b, "j"))
+            if now != key and parts:
+                yield links(parts)
+                parts = []
+            key = now
+            parts.append(b)
+        if parts:
+            yield links(parts)
+
+    return fn
+
+
+def similar_rows(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``(row, id, th, root)`` for rows ``(row, id, text)``: groups of the pairs at ``similarity`` or more.
+
+    Rows that share a band become candidates; star edges join them to candidate groups.
+    Each pair of such a group is then held against the similarity of the two sets, in
+    blocks of bounded size, so nothing is united without that check.
+    """
+    sets = written(rows.withColumn("th", F.xxhash64("text")).mapInArrow(_sets(words), "row long, id long, th long, node long, bands array<long>"), "sets")
+    classes = written(sets.groupBy("node").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row")), "setclasses")
+    filed = classes.select("node", F.explode("bands").alias("v"))
+    least = filed.groupBy("v").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = written(components(filed.join(least, "v").where("node <> a").select("a", F.col("node").alias("b")), "metcc"), "met")
+    sizes = met.groupBy("root").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("blocks"))
+    at = met.join(classes.select("node", "row"), "node").join(sizes, "root").withColumn("blk", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int"))
+    at = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "row")
+    at = at.join(rows.select("row", "text"), "row").drop("row").withColumn("b", F.xxhash64("root", "i", "j"))
+    edges = dealt(at, "b", "root", "i", "j").drop("b").mapInArrow(_similar(words, similarity), "a long, b long")
+    return sets.drop("bands").join(components(edges, "simcc"), "node", "left").select("row", "id", "th", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group at ``similarity`` or more stays: the smallest id (null last), then by its text; each row has its own key."""
+    docs = written(docs.withColumn("__nl_row", F.monotonically_increasing_id()), "keyed")
+    rows = docs.select(F.col("__nl_row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    first = similar_rows(rows, words, similarity).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "row"))["row"].alias("__nl_row"))
+    return docs.join(first.select("__nl_row"), "__nl_row", "left_semi").drop("__nl_row")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

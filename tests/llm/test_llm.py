@@ -133,6 +133,30 @@ def test_simhash_forest():
         assert {frozenset(e) for e in got} == {frozenset(e) for e in [(filed[0], p), (0, p), (0, 1 | 1 << 34 | 1 << 50)]}
 
 
+def test_similar_stage(spark, monkeypatch):
+    """The stage against all pairs of shingle sets: short texts, chains, groups over several blocks."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash_dedup, "VERIFY_BLOCK", 8)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(4000)}"
+    texts = ["", None, "a b", "A  b", "a c"]
+    for size in [12, 20, 40, 80, 150, 300]:
+        for _ in range(4):
+            x = [word() for _ in range(size)]
+            for _ in range(8):
+                texts.append(" ".join(x))
+                x = list(x)
+                for _ in range(rng.randint(1, max(1, size // 45))):
+                    x[rng.randrange(size)] = word()
+    sets = [set(simhash_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect())
+    far = [(i, j) for i, j in linked if (simhash_dedup.fingerprint(texts[i], 5) ^ simhash_dedup.fingerprint(texts[j], 5)).bit_count() > 3]
+    assert far and got == sorted(set(brute_components(len(texts), linked)))
+
+
 def test_thresholds():
     cost, ts = simhash_dedup.thresholds([[0, 1, 5, 9], [0, 100, 500, 900], [0, 2, 3, 50]], 4)
     assert sum(t + 1 for t in ts) == 4 and cost == 8 and ts == [1, -1, 1]
