@@ -3,7 +3,9 @@
 Vectors are compared only within one label.  In each pass every vector gets the
 signs of ``hash_bits`` random projections, most significant first; rows are sorted
 by (label, signs) over a range partitioning, and each row is compared, in double
-precision, with its next ``window`` neighbours.  Verified pairs of all passes are
+precision, with its next ``window`` neighbours; the first and last ``window`` rows of
+every partition are compared once more in order, so partition borders hide none.  The
+number of passes grows with the largest label (:func:`passes_for`).  Verified pairs of all passes are
 united by a star contraction.  Within a component, which holds every link found, the
 links of each vector are then counted exactly, in blocks of bounded size, so a dense
 group larger than the window loses none.
@@ -17,6 +19,7 @@ that tie keep a row each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,15 @@ from .common import column, components, dealt, sliced, table, value, written
 
 THRESHOLD, PASSES, WINDOW, HASH_BITS, SEED = 0.93, 12, 48, 62, 20240607
 COUNT_BLOCK = 1024
+RECALL = 0.99  # expected for an isolated pair at the threshold
+ORDER = ["pass", "label", "dim", "code", "node"]
+
+
+def passes_for(rows: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes for ``recall``: a pair must share the leading signs that leave ``window`` of ``rows`` evenly spread rows."""
+    same = 1 - math.acos(threshold) / math.pi
+    once = same ** max(0.0, math.log2(max(rows, 1) / window))
+    return PASSES if once >= 1 else max(PASSES, math.ceil(math.log(1 - recall) / math.log(1 - once)))
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -58,8 +70,10 @@ def _codes(passes: int, bits: int, seed: int):
     return fn
 
 
-def _windows(window: int, threshold: float):
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _windows(window: int, threshold: float, borders: bool):
+    """Edges, and with ``borders`` also the first and last ``window`` rows of the partition."""
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tail, tail_id = None, None, None
         for b in sliced(batches, ["pass", "label", "dim"]):
             now = (value(b, "pass"), value(b, "label"), value(b, "dim"))
@@ -88,7 +102,29 @@ def _windows(window: int, threshold: float):
             own = np.flatnonzero(root != np.arange(len(ids)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(ids[root[own]])], names=["a", "b"])
 
-    return fn
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: list[pa.RecordBatch] = []
+        last: list[pa.RecordBatch] = []
+        empty: dict[str, pa.DataType] = {}
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                empty.update(zip(b.schema.names, b.schema.types, strict=True))
+                room = window - sum(map(len, head))
+                if room > 0:
+                    head.append(b.slice(0, room))
+                last.append(b.slice(min(room, len(b))) if room > 0 else b)
+                while sum(map(len, last[1:])) >= window:
+                    last.pop(0)
+                yield b
+
+        for e in edges(seen()):
+            yield pa.RecordBatch.from_arrays([*e.columns, *[pa.nulls(len(e), t) for t in empty.values()]], names=["a", "b", *empty])
+        rest = sum(map(len, last)) - window
+        for b in [*head, *([last[0].slice(max(rest, 0)), *last[1:]] if last else [])]:
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(b), pa.int64())] * 2, *b.columns], names=["a", "b", *empty])
+
+    return fn if borders else edges
 
 
 def _counts(threshold: float):
@@ -125,7 +161,7 @@ def _counts(threshold: float):
     return fn
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, hash_bits: int = HASH_BITS, seed: int = SEED) -> DataFrame:
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, hash_bits: int = HASH_BITS, seed: int = SEED) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row a vector."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("vec"))
     inf = float("inf")
@@ -135,10 +171,14 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     v = written(v, "vectors")
     good = v.where("sound")
     classes = written(good.groupBy("node").agg(F.count("*").alias("mult"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec")), "classes")
-    coded = classes.select("label", "dim", "node", "vec").mapInArrow(_codes(passes, hash_bits, seed), f"pass int, label long, dim int, code long, node long, vec {v.schema['vec'].dataType.simpleString()}")
+    if passes is None:
+        passes = passes_for(classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0, threshold, window)
+    schema = f"pass int, label long, dim int, code long, node long, vec {v.schema['vec'].dataType.simpleString()}"
+    coded = classes.select("label", "dim", "node", "vec").mapInArrow(_codes(passes, hash_bits, seed), schema)
     n = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["pass", "label", "dim", "code", "node"]
-    edges = coded.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_windows(window, threshold), "a long, b long")
+    compared = written(coded.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(_windows(window, threshold, True), f"a long, b long, {schema}"), "vecwindows")
+    border = dealt(compared.where("a IS NULL").select(*coded.columns), *ORDER).mapInArrow(_windows(window, threshold, False), "a long, b long")
+    edges = compared.where("a IS NOT NULL").select("a", "b").unionByName(border)
     linked = written(components(edges, "veccc"), "vecroots")
     sizes = linked.groupBy("root").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("blocks"))
     at = classes.select("node", "mult", "vec").join(linked, "node").join(sizes, "root")

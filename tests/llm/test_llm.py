@@ -180,6 +180,29 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(5000, 5005))
 
 
+def test_embedding_borders(spark):
+    """With a window over all rows one pass finds every link, however many partitions the rows fall in."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.standard_normal((60, 12)), 5, axis=0)
+    x = (x + 0.22 * rng.standard_normal(x.shape)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.vec_id: r for r in embedding_dedup.embedding_groups(df, passes=1, window=300).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    close = u @ u.T >= embedding_dedup.THRESHOLD
+    assert [got[i].n_links for i in range(300)] == (close.sum(axis=1) - 1).tolist()
+
+
+def test_embedding_passes():
+    """More rows a label take more passes, for the stated recall of an isolated pair."""
+    assert [embedding_dedup.passes_for(n) for n in (0, 48, 10_000)] == [embedding_dedup.PASSES] * 3
+    assert embedding_dedup.PASSES < embedding_dedup.passes_for(10**6) < embedding_dedup.passes_for(10**7)
+
+
 def test_lattice_and_scores(odd, none):
     x = lm_score.Lattice(lm_score.vocabulary_path())
     import sentencepiece
