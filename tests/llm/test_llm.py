@@ -157,6 +157,14 @@ def test_similar_stage(spark, monkeypatch):
     assert far and got == sorted(set(brute_components(len(texts), linked)))
 
 
+def test_keep_one_rows(spark):
+    """Different texts under a null or shared id all stay; of a group one row stays."""
+    x, y, z = ("alpha beta gamma delta", "one two three four", "red green blue black")
+    rows = [(None, x), (None, y), (3, z), (3, x + " tail end more"), (4, y), (5, z), (None, z)]
+    got = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [r for r in spark.createDataFrame([rows[0], rows[2], rows[3], rows[4]], "doc_id long, text string").collect()]))
+
+
 def test_thresholds():
     cost, ts = simhash_dedup.thresholds([[0, 1, 5, 9], [0, 100, 500, 900], [0, 2, 3, 50]], 4)
     assert sum(t + 1 for t in ts) == 4 and cost == 8 and ts == [1, -1, 1]
