@@ -5,17 +5,19 @@ Every text is split at newlines.  A line's key is the line without white space
 ``min_chars`` code points found in at least ``min_docs`` documents loses all its
 lines, except those in the largest document id that holds it.
 
-Keys travel as 128-bit XXH3 digests.  Distinct digests with enough documents are
-dealt into shards; each shard builds a minimal perfect hash that indexes three
-plain arrays: a 64-bit fingerprint, the document count and the largest id.
-Documents are dealt into blocks; a block asks about each distinct digest it holds
-once, so a line in a third of all documents is asked about once per block.  The
-shard answers by probing its arrays, and answers return to the block.
-
-Defined cases: a null or empty text is one empty line; repeated rows count as
-separate documents with the same id, so ids tie and every row with the largest id
-keeps its lines; a null id is smaller than any other; an empty table gives an empty
-result; further columns, whatever their names, pass through untouched.
+Keys travel as 128-bit XXH3 digests.  All distinct digests, with the number of
+different documents that hold them and the largest id, are dealt into shards.  A shard
+builds a minimal perfect hash over its digests, which indexes three plain arrays: a
+32-bit fingerprint, the document count and the largest id.  Documents are dealt into
+blocks; a block probes the arrays once for each distinct digest it holds, so a line in
+a third of all documents is probed once per block.  The count array decides; answers
+return to the block.  Probes travel to the shard that holds the arrays: an index of
+all lines grows with the corpus, so no task could read the whole of it.
+
+Defined cases: a null or empty text is one empty line; rows that share an id, and rows
+without one, count as one document; a null id is smaller than any other; ids tie with
+themselves, so every row with the largest id keeps its lines; an empty table gives an
+empty result; further columns, whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -28,11 +30,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BLOCK, KIND, WORD_SPACE, column, dealt, runs, sliced, table, value, with_block, written
+from .common import BLOCK, KIND, WORD_SPACE, column, dealt, keyed, numbered, place, sliced, table, value, with_block, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-ROWS_PER_BLOCK, KEYS_PER_SHARD, LEAST_SHARDS = 3000, 200_000, 64
+BLOCK_BYTES, KEYS_PER_SHARD, LEAST_SHARDS = 6_000_000, 200_000, 64
 NO_ID = -(2**63)
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -120,21 +123,19 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made(shard: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         h, f, n, last = (t.column(c).to_numpy() for c in ("h", "f", "n", "last"))
-        # two distinct 128-bit digests may share their first half: one slot for each distinct first half
+        # two distinct 128-bit digests may share their first half: the first has the slot, the others are spare
         order = np.lexsort((f, h))
         h, f, n, last = h[order], f[order], n[order], last[order]
         first = np.ones(len(h), dtype=bool)
         first[1:] = h[1:] != h[:-1]
         twins = np.flatnonzero(~first)
-        key = h.copy()
-        key[twins] = (_mix(h[twins] ^ f[twins], 77)).view(np.int64)
-        levels = build_mph(key[first])
-        at = probe_mph(levels, key[first])
-        fp, cnt, ids = (np.zeros(len(at), dtype=d) for d in (np.int64, np.int64, np.int64))
-        fp[at], cnt[at], ids[at] = f[first], n[first], last[first]
+        levels = build_mph(h[first])
+        at = probe_mph(levels, h[first])
+        fp, cnt, ids = np.zeros(len(at), dtype=np.uint32), np.zeros(len(at), dtype=np.uint32), np.zeros(len(at), dtype=np.int64)
+        fp[at], cnt[at], ids[at] = f[first].astype(np.uint32), np.minimum(n[first], 2**32 - 1), last[first]
         spare = np.stack([h[twins], f[twins], n[twins], last[twins]]).astype(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([[np.packbits(x).tobytes() for x in levels]], pa.list_(pa.binary())), pa.array([[len(x) for x in levels]], pa.list_(pa.int64())), pa.array([fp.tobytes()], pa.binary()), pa.array([cnt.astype(np.uint32).tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary()), pa.array([spare.tobytes()], pa.binary())],
+            [pa.array([shard], pa.int32()), pa.array([[np.packbits(x).tobytes() for x in levels]], pa.list_(pa.binary())), pa.array([[len(x) for x in levels]], pa.list_(pa.int64())), pa.array([fp.tobytes()], pa.binary()), pa.array([cnt.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary()), pa.array([spare.tobytes()], pa.binary())],
             names=["shard", "bits", "sizes", "fp", "cnt", "ids", "spare"],
         )
 
@@ -156,7 +157,7 @@ def _probe(min_docs: int):
             if value(b, KIND) == 0:
                 shard = value(b, "shard")
                 levels = [np.unpackbits(np.frombuffer(x, dtype=np.uint8))[:n] for x, n in zip(value(b, "bits"), value(b, "sizes"), strict=True)]
-                index = (levels, np.frombuffer(value(b, "fp"), dtype=np.int64), np.frombuffer(value(b, "cnt"), dtype=np.uint32), np.frombuffer(value(b, "ids"), dtype=np.int64), np.frombuffer(value(b, "spare"), dtype=np.int64).reshape(4, -1))
+                index = (levels, np.frombuffer(value(b, "fp"), dtype=np.uint32), np.frombuffer(value(b, "cnt"), dtype=np.uint32), np.frombuffer(value(b, "ids"), dtype=np.int64), np.frombuffer(value(b, "spare"), dtype=np.int64).reshape(4, -1))
                 continue
             if value(b, "shard") != shard:
                 continue  # the shard indexes no key
@@ -164,11 +165,11 @@ def _probe(min_docs: int):
             levels, fp, cnt, ids, spare = index
             at = probe_mph(levels, h)
             ok = at >= 0
-            ok[ok] = (fp[at[ok]] == f[ok]) & (cnt[at[ok]] >= min_docs)
+            ok[ok] = (fp[at[ok]] == f[ok].astype(np.uint32)) & (cnt[at[ok]] >= min_docs)
             last = ids[np.where(ok, at, 0)] if len(ids) else np.zeros(len(h), dtype=np.int64)
             for hh, ff, nn, ll in spare.T:
-                twin = (h == hh) & (f == ff) & (nn >= min_docs)
-                ok, last = ok | twin, np.where(twin, ll, last)
+                twin = (h == hh) & (f == ff)
+                ok, last = np.where(twin, nn >= min_docs, ok), np.where(twin, ll, last)
             yield pa.RecordBatch.from_arrays([pa.array(block[ok].astype(np.int32)), pa.array(h[ok]), pa.array(f[ok]), pa.array(last[ok])], names=[BLOCK, "h", "f", "last"])
 
     return fn
@@ -205,26 +206,28 @@ def _apply(min_chars: int, digest_only: bool):
 
 
 def _run(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, digest_only: bool) -> DataFrame:
-    own = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
-    base = docs.select(*own) if digest_only else docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    base = with_block(base, "id", ROWS_PER_BLOCK)
+    other = [c for c in numbered(docs).columns if c != place(docs, text_col)]
+    base = keyed(docs, id_col, text_col, *([] if digest_only else [F.struct(*other).alias("row")]))
+    base = with_block(base, BLOCK_BYTES)
     keys = written(base.select(BLOCK, "id", "text").mapInArrow(_keys(min_chars), f"{BLOCK} int, id long, h long, f long"), "linekeys")
-    often = written(keys.groupBy("h", "f").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs), "often")
-    shards = max(LEAST_SHARDS, -(-often.count() // KEYS_PER_SHARD))
+    shards = max(LEAST_SHARDS, -(-keys.count() // KEYS_PER_SHARD))
     shard = F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard")
-    index = dealt(often.select(shard, "h", "f", "n", "last"), "shard").mapInArrow(_build, "shard int, bits array<binary>, sizes array<long>, fp binary, cnt binary, ids binary, spare binary")
+    lines = keys.groupBy("h", "f").agg(F.countDistinct("id").alias("n"), F.max("id").alias("last"))
+    index = dealt(lines.select(shard, "h", "f", "n", "last"), "shard").mapInArrow(_build, "shard int, bits array<binary>, sizes array<long>, fp binary, cnt binary, ids binary, spare binary")
     asked = keys.select(BLOCK, "h", "f").distinct().select(shard, F.lit(1).alias(KIND), BLOCK, "h", "f")
     both = index.withColumn(KIND, F.lit(0)).unionByName(asked, allowMissingColumns=True)
     hits = dealt(both, "shard", KIND).mapInArrow(_probe(min_docs), f"{BLOCK} int, h long, f long, last long")
     stream = hits.withColumn(KIND, F.lit(0)).unionByName(base.withColumn(KIND, F.lit(1)), allowMissingColumns=True)
-    row = "" if digest_only else f"row {base.schema['row'].dataType.simpleString()}, "
-    return dealt(stream, BLOCK, KIND).mapInArrow(_apply(min_chars, digest_only), f"id long, {row}n_lines long, n_dropped long, {'kept_sha256' if digest_only else 'kept'} string")
+    out = T.StructType().add("id", "long")
+    if not digest_only:
+        out = out.add(base.schema["row"])
+    return dealt(stream, BLOCK, KIND).mapInArrow(_apply(min_chars, digest_only), out.add("n_lines", "long").add("n_dropped", "long").add("kept_sha256" if digest_only else "kept", "string"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The documents with repeated lines gone from ``text_col``; all other columns as they were."""
-    out = _run(docs, id_col, text_col, min_chars, min_docs, False)
-    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    out, text = _run(docs, id_col, text_col, min_chars, min_docs, False), place(docs, text_col)
+    return out.select(*[F.col("kept").alias(c) if c == text else F.col(f"row.{c}").alias(c) for c in numbered(docs).columns]).toDF(*docs.columns)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -1,30 +1,37 @@
 """Language-model scores over a subword lattice (operator 8).
 
 A text is its words ``[^\\x20\\x09-\\x0D]+`` in ASCII lower case, then one end token.
-Every word spans a lattice whose arcs are the pieces of an existing public
-vocabulary, with byte pieces where no piece covers a character.  A word's spelling
-probability is the sum over all its segmentations, by a forward recursion in log
-space.  Piece weights start from the vocabulary's own scores (the score of a merge
-vocabulary is minus its rank, so a piece starts at Zipf's ``1 / (rank + 2)``) and are
-re-estimated by expectation steps over every distinct training word.  Words seen in
-training add an arc of their own, discounted, and the discounted mass weights the
-spelling lattice::
-
-    P(w) = max(c(w) - D, 0) / N + D * V / N * spelling(w)
-
-which sums to one over all texts.  As no arc crosses white space, a document's
-marginal is the product over its words and its end.
-
-Data flow: documents are dealt by id into blocks.  A block lists its distinct words
-once; the words meet their global counts in one aggregate, are spelled once each,
-and return to the blocks that asked.  Nothing but piece sums (bounded by the
-vocabulary) and three totals reaches the driver.
+Every word spans a lattice whose arcs are pieces: those of an existing public
+vocabulary, byte pieces where no piece covers a character, and, for a word of the
+training texts, the word itself as one piece.  The word's probability is the sum over
+all segmentations, by a forward recursion in log space.
+
+All piece weights are estimated by expectation steps over every distinct training word.
+The public pieces start from the vocabulary's own scores (the score of a merge
+vocabulary is minus its rank, so a piece starts at Zipf's ``1 / (rank + 2)``).  A piece
+with expected count ``e`` gets ``exp(digamma(e))``, as unigram vocabularies are trained;
+what that leaves of a word's count, the whole of it where the public pieces explain the
+word, belongs to the public pieces.  So with N training tokens::
+
+    P(w) = exp(digamma(c(w) own(w))) / N + rest * spelling(w)
+
+where ``own(w)`` is the posterior of the word's own piece (a fixed point of this very
+sum), ``rest`` the share of tokens the word pieces leave, and ``spelling`` the sum over
+the public pieces.  It sums to one over all words.  As no arc crosses white space, a
+document's marginal is the product over its words and its end.
+
+Data flow: documents are dealt into blocks of a few megabytes.  A block lists its
+distinct words once; the words meet their global counts in one aggregate, are spelled
+once each, and return to the blocks that asked.  Nothing but piece sums (bounded by the
+vocabulary) and three totals reaches the driver; the word pieces grow with the corpus
+and stay distributed.
 
 Defined cases: null and empty texts are the end token alone; invalid surrogates are
 kept as their bytes; a null id hashes as an empty string; repeated rows each count;
-with no training rows the spelling lattice and the vocabulary's own weights score
-everything and ``base_score`` is 0-count smoothing; an empty table gives an empty
-result; other columns are never read.
+with no training rows the public pieces with the vocabulary's own weights score
+everything and ``base_score`` is 0-count smoothing; a very long text is read in one
+pass and costs memory for its words only; an empty table gives an empty result; other
+columns are never read.
 """
 
 from __future__ import annotations
@@ -38,10 +45,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK, KIND, column, dealt, sliced, table, value, with_block, written
+from .common import BLOCK, KIND, column, dealt, keyed, sliced, table, value, with_block, written
 
-FOLDS, HELD_FOLD, ROWS_PER_BLOCK = 5, 1, 3000
-DISCOUNT, EM_STEPS, PRIOR = 0.75, 2, 2000.0
+FOLDS, HELD_FOLD, BLOCK_BYTES, WORDS_PER_TASK = 5, 1, 6_000_000, 20_000
+EM_STEPS, PRIOR, OWN_STEPS, START_REST, END_SPELLED = 2, 2000.0, 4, 0.1, 1e-3
 
 TINY = -1e30
 
@@ -108,8 +115,8 @@ class Lattice:
                 break
         return out
 
-    def words(self, words: list[str], weight: np.ndarray | None = None, expect: np.ndarray | None = None) -> np.ndarray:
-        """Log marginals; with ``weight``, expected piece counts are added to ``expect``."""
+    def words(self, words: list[str], weight=None, expect: np.ndarray | None = None) -> np.ndarray:
+        """Log marginals of the public pieces; with ``weight(rows, marginals)``, expected piece counts are added to ``expect``."""
         out = np.zeros(len(words))
         size = np.array([len(w) + 1 for w in words])
         order = np.argsort(size, kind="stable")
@@ -117,10 +124,10 @@ class Lattice:
             step = max(1, 400_000 // max(1, int(size[rows[0]])))
             for lo in range(0, len(rows), step):
                 part = rows[lo : lo + step]
-                out[part] = self._same([words[i] for i in part], int(size[part[0]]), None if weight is None else weight[part], expect)
+                out[part] = self._same([words[i] for i in part], int(size[part[0]]), None if weight is None else lambda lp, part=part: weight(part, lp), expect)
         return out
 
-    def _same(self, words: list[str], n: int, weight: np.ndarray | None, expect: np.ndarray | None) -> np.ndarray:
+    def _same(self, words: list[str], n: int, weight, expect: np.ndarray | None) -> np.ndarray:
         cp = np.frombuffer("".join("▁" + w for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(len(words), n).T.astype(np.uint64)
         acc = np.full((n + 1, len(words)), TINY)
         acc[0] = 0.0
@@ -151,10 +158,11 @@ class Lattice:
         if expect is not None:
             back = np.full((n + 1, len(words)), TINY)
             back[n] = 0.0
+            share = weight(acc[n])
             for i, j, hit, ids in reversed(arcs):
                 w = self.logw[ids] if ids is not None else self._spelled(cp[i, hit])[0]
                 back[i, hit] = np.logaddexp(back[i, hit], w + back[j, hit])
-                p = weight[hit] * np.exp(np.minimum(acc[i, hit] + w + back[j, hit] - acc[n, hit], 0.0))
+                p = share[hit] * np.exp(np.minimum(acc[i, hit] + w + back[j, hit] - acc[n, hit], 0.0))
                 if ids is not None:
                     expect += np.bincount(ids, weights=p, minlength=len(expect))
                 else:
@@ -221,41 +229,58 @@ def _list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out(block, train, held)
 
 
-def _expect(path: str, logw: np.ndarray | None):
+def exp_digamma(x: np.ndarray) -> np.ndarray:
+    x = np.maximum(x, 1e-12)
+    y = x + 6.0
+    return np.exp(np.log(y) - 1 / (2 * y) - 1 / (12 * y**2) + 1 / (120 * y**4) - sum(1 / (x + k) for k in range(6)))
+
+
+def own_counts(spelling: np.ndarray, c: np.ndarray, total: int, rest: float) -> np.ndarray:
+    """``exp(digamma(e))`` of the words' own pieces, ``e`` their expected counts: some steps of the fixed point."""
+    own, spelt = np.ones(len(c)), total * rest * np.exp(spelling)
+    for _ in range(OWN_STEPS):
+        w = np.where(c > 0, exp_digamma(c * own), 0.0)
+        own = w / np.maximum(w + spelt, 1e-300)
+    return np.where(c > 0, exp_digamma(c * own), 0.0)
+
+
+def _expect(path: str, logw: np.ndarray | None, total: int, rest: float):
+    """Expected counts of the public pieces, and under -1 the count the word pieces take."""
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _lattice(path, logw)
-        sums = np.zeros(x.n)
+        sums, taken = np.zeros(x.n), 0.0
         for b in batches:
-            words = [w.decode("utf-8", "surrogatepass") for w in column(b, "word").to_pylist()]
-            x.words(words, np.ones(len(words)), sums)
+            words, c = [w.decode("utf-8", "surrogatepass") for w in column(b, "word").to_pylist()], column(b, "c").to_numpy()
+            lp = x.words(words, lambda part, lp, c=c: c[part] - own_counts(lp, c[part], total, rest), sums)
+            taken += float(own_counts(lp, c, total, rest).sum())
         at = np.flatnonzero(sums > 0)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(sums[at], taken))], names=["piece", "n"])
 
     return fn
 
 
-def _spell(path: str, logw: np.ndarray | None, total: int, distinct: int):
+def _spell(path: str, logw: np.ndarray | None, total: int, rest: float):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = _lattice(path, logw)
         for b in batches:
             words = [w.decode("utf-8", "surrogatepass") for w in column(b, "word").to_pylist()]
             c = column(b, "c").to_numpy()
-            yield pa.RecordBatch.from_arrays([column(b, "word"), column(b, "c"), pa.array(mixed(x.words(words), c, total, distinct))], names=["word", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([column(b, "word"), column(b, "c"), pa.array(marginal(x.words(words), c, total, rest))], names=["word", "c", "lp"])
 
     return fn
 
 
-def mixed(spelling: np.ndarray, c: np.ndarray, total: int, distinct: int) -> np.ndarray:
-    """Natural-log probability of words from their spelling, count, N and the number of distinct tokens."""
+def marginal(spelling: np.ndarray, c: np.ndarray, total: int, rest: float) -> np.ndarray:
+    """Natural-log probability of words: the arc of their own piece and the sum over the public pieces."""
     if not total:
         return spelling
-    own = np.log(np.maximum(c - DISCOUNT, 1e-300) / total)
-    return np.logaddexp(np.where(c > 0, own, TINY), np.log(DISCOUNT * distinct / total) + spelling)
+    own = own_counts(spelling, c, total, rest) / total
+    return np.logaddexp(np.where(own > 0, np.log(np.maximum(own, 1e-300)), TINY), np.log(rest) + spelling)
 
 
-def _score(total: int, distinct: int, ends: int):
+def _score(total: int, distinct: int, ends: int, rest: float):
     floor = total + 0.5 * (distinct + 1)
-    end_lp = float(mixed(np.array([np.log(1e-3)]), np.array([ends]), total, distinct)[0])
+    end_lp = float(marginal(np.array([np.log(END_SPELLED)]), np.array([ends]), total, rest)[0])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, index, c, lp = None, {}, None, None
@@ -287,25 +312,30 @@ def _score(total: int, distinct: int, ends: int):
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, folds: int = FOLDS, held_fold: int = HELD_FOLD, em_steps: int = EM_STEPS) -> DataFrame:
     """One row a document: counts, the add-half base and the lattice model's log10 probability."""
     path = path or vocabulary_path()
-    held = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == held_fold
-    base = with_block(docs.select(F.col(id_col).cast("long").alias("id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text")), "id", ROWS_PER_BLOCK)
+    at = F.col("id").cast("string")
+    held = F.pmod(F.crc32(F.coalesce(at, F.lit("")).cast("binary")), F.lit(folds)) == held_fold
+    base = with_block(keyed(docs, id_col, text_col).withColumn("held_out", held), BLOCK_BYTES)
     asked = written(dealt(base, BLOCK).mapInArrow(_list_words, f"{BLOCK} int, word binary, c long"), "asked")
     words = written(asked.groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = base.agg(F.count(F.when(~F.col("held_out"), 1))).first()[0]
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    rows, n, v = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    words = words.repartition(max(1, -(-rows // WORDS_PER_TASK)))
     total, distinct = n + ends, v + (ends > 0)
-    logw = None
+    logw, rest = None, START_REST
     prior = Lattice(path).prior
     for _ in range(em_steps if v else 0):
-        got = words.where("c > 0").mapInArrow(_expect(path, logw), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        sums = PRIOR * prior[:-1]
+        got = words.where("c > 0").mapInArrow(_expect(path, logw, total, rest), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+        sums, taken = PRIOR * prior[:-1], float(exp_digamma(np.array([float(ends)]))[0])
         for r in got:
-            sums[r.piece] += r.n
-        logw = np.log(np.maximum(sums / sums.sum(), 1e-300))
-    spelled = words.mapInArrow(_spell(path, logw, total, distinct), "word binary, c long, lp double")
+            if r.piece < 0:
+                taken += r.n
+            else:
+                sums[r.piece] += r.n
+        logw, rest = np.log(np.maximum(sums / sums.sum(), 1e-300)), max(1 - taken / total, 1e-9)
+    spelled = words.mapInArrow(_spell(path, logw, total, rest), "word binary, c long, lp double")
     answers = asked.select(BLOCK, "word").join(spelled, "word").withColumn(KIND, F.lit(0))
     stream = answers.unionByName(base.withColumn(KIND, F.lit(1)), allowMissingColumns=True)
-    return dealt(stream, BLOCK, KIND).mapInArrow(_score(total, distinct, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt(stream, BLOCK, KIND).mapInArrow(_score(total, distinct, ends, rest), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def crc_fold(doc_id: int | None, folds: int) -> int:

@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from notelink.llm import embedding_dedup, line_dedup, lm_score, media, packing, quality, sentence_pieces, simhash_dedup, tool_calls, toxicity
 
@@ -43,7 +44,7 @@ def brute_lines(rows):
     for i, t in rows:
         lines = (t or "").split("\n")
         i = -(2**63) if i is None else i
-        stay = [x for x in lines if not (len(key(x)) >= 20 and len(held[key(x)]) >= 3 and max(held[key(x)]) != i)]
+        stay = [x for x in lines if not (len(key(x)) >= 20 and len(set(held[key(x)])) >= 3 and max(held[key(x)]) != i)]
         out.append((i, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
     return sorted(out)
 
@@ -57,6 +58,15 @@ def test_lines(odd, none):
     assert line_dedup.line_report(none).count() == 0
 
 
+def test_lines_ids_and_names(spark):
+    """A repeated row is one document; columns of any name pass."""
+    same = "one and the same line of text"
+    df = spark.createDataFrame([(1, same, "a"), (1, same, "a"), (2, same, "b")], "doc_id long, text string, `my col-x.y` string")
+    assert [r.n_dropped for r in line_dedup.line_report(df).collect()] == [0, 0, 0]
+    got = line_dedup.dedup_lines(df.union(spark.createDataFrame([(3, same, "c")], df.schema)))
+    assert got.columns == df.columns and sorted((r[0], r[1], r[2]) for r in got.collect()) == [(1, "", "a"), (1, "", "a"), (2, "", "b"), (3, same, "c")]
+
+
 def test_perfect_hash():
     h = np.unique(np.random.default_rng(0).integers(-(2**62), 2**62, 5000))
     at = line_dedup.probe_mph(line_dedup.build_mph(h), h)
@@ -239,12 +249,74 @@ def test_lattice_and_scores(odd, none):
         for t in [*lm_score.tokens(r.text), None]:
             c[t] = c.get(t, 0) + 1
     n, v = sum(c.values()), len(c)
+    score = brute_model(x, {k.decode(): k_n for k, k_n in c.items() if k is not None}, c[None], n)
     for r, g in zip(sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id)), got, strict=True):
         t = [*lm_score.tokens(r.text), None]
         assert (g.n_tokens, g.n_known, g.train_tokens) == (len(t), sum(k in c for k in t), n)
         assert abs(g.base_score - sum(np.log10((c.get(k, 0) + 0.5) / (n + 0.5 * (v + 1))) for k in t)) < 1e-6 * len(t)
-        assert g.score < 0
+        assert abs(g.score - sum(score(k if k is None else k.decode()) for k in t)) < 1e-6 * len(t)
     assert lm_score.lm_scores(none).count() == 0
+    alone = lm_score.lm_scores(odd.where("doc_id = 3"), folds=1, held_fold=0).collect()  # nothing to learn from
+    assert alone[0].train_tokens == 0 and alone[0].score < 0
+
+
+def brute_model(x, counts, ends, n):
+    """Expectation steps and marginals by an explicit sum over all segmentations, word by word."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=lm_score.vocabulary_path())
+    plain = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    plain = {p: i for p, i in plain.items() if not any("A" <= k <= "Z" for k in p)}
+
+    def arcs(s):
+        for i in range(len(s)):
+            for j in range(i + 1, len(s) + 1):
+                if s[i:j] in plain:
+                    yield i, j, [plain[s[i:j]]]
+                elif j == i + 1:
+                    yield i, j, [int(x.bytes[b]) for b in s[i:j].encode()]
+
+    def forward(s, w):
+        a = np.full(len(s) + 1, -1e30)
+        a[0] = 0.0
+        for i, j, p in arcs(s):
+            a[j] = np.logaddexp(a[j], a[i] + sum(w[k] for k in p))
+        return a
+
+    def psi(e):  # exp(digamma) by a numeric derivative of log gamma
+        from math import exp, lgamma
+
+        return exp((lgamma(e + 1e-6) - lgamma(e - 1e-6)) / 2e-6) if e > 1e-5 else 0.0
+
+    def own(c, spell, rest):
+        o = 1.0
+        for _ in range(lm_score.OWN_STEPS):
+            w = psi(c * o) if c else 0.0
+            o = w / max(w + n * rest * np.exp(spell), 1e-300)
+        return psi(c * o) if c else 0.0
+
+    w, rest = np.log(np.maximum(x.prior[:-1], 1e-300)), lm_score.START_REST
+    for _ in range(lm_score.EM_STEPS):
+        sums, taken = lm_score.PRIOR * x.prior[:-1], psi(ends)
+        for word, c in counts.items():
+            s = "▁" + word
+            a = forward(s, w)
+            back = np.full(len(s) + 1, -1e30)
+            back[-1] = 0.0
+            took = own(c, a[-1], rest)
+            taken += took
+            for i, j, p in sorted(arcs(s), key=lambda e: -e[0]):
+                lp = sum(w[k] for k in p)
+                back[i] = np.logaddexp(back[i], lp + back[j])
+                for k in p:
+                    sums[k] += (c - took) * np.exp(a[i] + lp + back[j] - a[-1])
+        w, rest = np.log(np.maximum(sums / sums.sum(), 1e-300)), max(1 - taken / n, 1e-9)
+
+    def score(word):
+        spell, c = (np.log(lm_score.END_SPELLED), ends) if word is None else (forward("▁" + word, w)[-1], counts.get(word, 0))
+        return np.log10(own(c, spell, rest) / n + rest * np.exp(spell)) if spell > -600 or c else (np.log(rest) + spell) / np.log(10)
+
+    return score
 
 
 def test_media(odd, none):
@@ -294,7 +366,10 @@ def test_packing(odd, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    special = odd.limit(1).select(*[F.lit(9000 if c == "doc_id" else "a <|endoftext|> b<|endoftext|>").alias(c) if c in ("doc_id", "text") else F.col(c) for c in odd.columns])
+    odd = odd.unionByName(special)
     want = sorted([*tok.encode(r.text or "", add_special_tokens=False).ids, 1] for r in odd.collect())
+    assert any(50256 in x for x in want)
     rows = packing.pack(odd.dropDuplicates(["doc_id"])).collect()
     got, seq = {}, {}
     for r in sorted(rows, key=lambda r: r.start):
@@ -308,6 +383,45 @@ def test_packing(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_ranks():
+    """BM25 sums by the formula, the choice of the best unused document, and windows that go on over shards."""
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(2, 40, rng.integers(3, 30)).astype("<u2") for _ in range(30)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    mean = np.mean([len(d) for d in docs])
+    weights = packing.idf(df, len(docs))
+
+    def bm25(q, d):
+        return sum(np.log1p((30 - df[t] + 0.5) / (df[t] + 0.5)) * (tf := (d == t).sum()) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in np.unique(q))
+
+    index = packing.Index(docs, weights, mean)
+    assert np.allclose(index.scores(3), [bm25(docs[3], d) for d in docs], rtol=1e-4)
+    pieces, window, offset = packing.fill(docs, 50, weights, mean, 7, 20)
+    assert pieces[0][3:] == (7, 20) and sorted({p[0] for p in pieces}) == list(range(30))
+    assert window == 7 + (20 + sum(map(len, docs))) // 50 and offset == (20 + sum(map(len, docs))) % 50
+    used, seed, full = {pieces[0][0]}, pieces[0][0], 20 + pieces[0][2]
+    for doc, start, size, w, at in pieces[1:]:
+        assert at == full % 50
+        if start == 0 and seed is not None and at:
+            best = max(bm25(docs[seed], docs[d]) for d in range(30) if d not in used)
+            assert bm25(docs[seed], docs[doc]) >= best - 1e-3
+        if at == 0:
+            seed = doc
+        used.add(doc)
+        full = at + size
+
+
+def test_packing_lexical_shards(spark):
+    """Likeness beats id order: topics that alternate by id come together in windows."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"{'abcdefghij'[i % 10] * 3}{rng.randrange(60)}x" for _ in range(40))) for i in range(600)]
+    by = {}
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), shard_docs=64).collect():
+        by.setdefault(r.sequence_id, []).append(r.doc_id % 10)
+    same = [max(map(x.count, x)) / len(x) for x in by.values() if len(x) > 3]
+    assert sum(same) / len(same) > 0.6
+
+
 def test_tool_calls(spark):
     c = duckdb.connect()
     c.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
