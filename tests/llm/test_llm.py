@@ -323,15 +323,76 @@ def test_media(odd, none):
     for raw in (b"", b"abc", b"\xff" * 576, b"x" * 5000):
         p = media.padded(raw)
         assert len(p) % 576 == 0 and p and media.decode_png(media.encode_png(p)) == p
-    for r in media.text_media(odd).collect():
-        assert r.payload_bytes == max(576, -(-r.n_bytes // 576) * 576)
-    text = {r.doc_id: r.text for r in odd.collect()}
-    for r in media.text_media(odd).collect():
-        p = media.padded((text[r.doc_id] or "").encode())
-        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+    text = {r.doc_id: r.text or "" for r in odd.collect()}
+    rows = media.text_media(odd).collect()
+    assert len(rows) == odd.count()
+    for r in rows:
+        raw = text[r.doc_id].encode()
+        p = media.padded(raw)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), max(576, -(-len(raw) // 576) * 576), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        stored = media.encode_png(p)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), brute_feature(p))
+        said = [x for x in (" ".join(x.split()) for x in text[r.doc_id].split("\n")) if x]
+        first = bool(text[r.doc_id].split("\n")[0].strip())
+        assert (r.position, r.n_items, r.texts_sha256) == (int(first), len(said) + 1, hashlib.sha256("\n".join(said).encode()).hexdigest())
+        assert r.caption == f"text of document {'unknown' if r.doc_id is None else r.doc_id}"
     assert media.text_media(none).count() == 0
-    items = media.sequence('<p>one</p><figure><img src="sha256:ab" alt="x"><figcaption>cap</figcaption></figure><script>no</script>two')
-    assert [(i["kind"], i["text"], i["digest"], i["caption"]) for i in items] == [("text", "one", None, None), ("media", None, "ab", "cap"), ("text", "two", None, None)]
+
+
+def brute_feature(p):
+    w, n = 576, len(p)
+    rows = [p[k : k + w] for k in range(0, n, w)]
+    mean = sum(p) / n
+    dev = (sum((b - mean) ** 2 for b in p) / n) ** 0.5
+    share = [(sum(b // 16 == k for b in p) * 1000 + n // 2) // n for k in range(16)]
+    cuts = [k * len(rows) // 8 for k in range(8)]
+    bits = ""
+    for k in range(8):
+        band = rows[min(cuts[k], len(rows) - 1) : max((cuts + [len(rows)])[k + 1], min(cuts[k], len(rows) - 1) + 1)]
+        for c in range(8):
+            cell = [b for r in band for b in r[c * 72 : (c + 1) * 72]]
+            bits += str(int(sum(cell) * n > sum(p) * len(cell)))
+    return f"{len(rows)}|{mean:.4f}|{dev:.4f}|{','.join(map(str, share))}|{int(bits, 2):016x}"
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<p>one</p><figure><img src="sha256:ab" alt="x"><figcaption>cap</figcaption></figure><script>no</script>two', ["one", ("ab", "cap"), "two"]),
+        ("a<figcaption>lone</figcaption>b", ["a", "lone", "b"]),
+        ('<figure><figcaption>before</figcaption><img src="sha256:ab"><img src="sha256:cd" alt="x"></figure>z', [("ab", "before"), ("cd", "before"), "z"]),
+        ('<figure><img src="sha256:ab"><figcaption>cap<p>rest</p></figure><p>end', [("ab", "cap"), "rest", "end"]),
+        ('<figure><img src="sha256:ab"><figcaption>a <b>bold</b><p>cap</p></figcaption></figure>', [("ab", "a bold cap")]),
+        ('<img srcset="sha256:ab 1x, sha256:cd 2x" title="t"><img data-src="sha256:ef">', [("ab", "t"), ("ef", None)]),
+        ("<noscript>gone<p>all</p>", ["gone", "all"]),
+        ("<noscript>gone</noscript>kept<template>x", ["keptx"]),
+        ("<figure><figcaption>alone</figcaption></figure>", ["alone"]),
+        ("", []),
+        (None, []),
+        ("<p>a &lt;b&gt; &amp;amp; c", ["a <b> &amp; c"]),
+    ],
+)
+def test_media_sequence(html, want):
+    items = media.sequence(html)
+    assert [x["position"] for x in items] == list(range(len(items)))
+    assert [x["text"] if x["kind"] == "text" else (x["digest"], x["caption"]) for x in items] == want
+
+
+def test_media_pages(spark):
+    """Real pages: the text items hold the page's visible words in order; unknown digests keep their place."""
+    import re
+    from html import unescape
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    for r in media.sequences(pages).collect():
+        bare = re.sub(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<figcaption\b.*?</figcaption\s*>|<!doctype[^>]*>", " ", html[r.id])
+        words = unescape(re.sub(r"(?s)<[^>]*>", " ", bare)).split()
+        got = " ".join(i.text for i in r["items"] if i.kind == "text").split()
+        assert "".join(got) == "".join(words)
+    refs = media.references(media.sequences(spark.createDataFrame([(1, '<p>t</p><img src="sha256:00"><img src="x">')], "page_id long, html string")))
+    store = spark.createDataFrame([("00", "payload")], "digest string, media string")
+    assert sorted((r.position, r.media) for r in media.resolve(refs, store).collect()) == [(1, "payload"), (2, None)]
 
 
 def test_pieces(odd, none):
