@@ -2,19 +2,25 @@
 
 Vectors are compared only within one label.  In each pass every vector gets the
 signs of ``hash_bits`` random projections, most significant first; rows are sorted
-by (label, signs) over a range partitioning, and each row is compared, in double
-precision, with its next ``window`` neighbours; the first and last ``window`` rows of
-every partition are compared once more in order, so partition borders hide none.  The
-number of passes grows with the largest label (:func:`passes_for`).  Verified pairs of all passes are
-united by a star contraction.  Within a component, which holds every link found, the
-links of each vector are then counted exactly, in blocks of bounded size, so a dense
-group larger than the window loses none.
+by (label, signs) over a range partitioning, and each row is compared with its next
+``window`` neighbours; the first and last ``window`` rows of every partition are
+compared once more in order, so partition borders hide none.  The number of passes
+grows with the largest label (:func:`passes_for`).
 
-Equal vectors of one label are one class with a multiplicity, never pairs.
+A pass ships one signed byte a component, a quarter of the vector.  Pairs whose cosine
+by those bytes is within ``MARGIN`` of the threshold or above it unite candidate groups
+over all passes.  Within a candidate group every pair is then verified in double precision
+on the vectors themselves, in blocks of bounded size, which gives each vector's links
+exactly and the verified pairs that a star contraction unites.  So the window bounds what
+is met, never what a dense group counts.
+
+Equal vectors of one label (by a 128-bit digest) are one class with a multiplicity, never
+pairs.
 
 Defined cases: a null label or vector, a zero vector, and one with null or
 non-finite parts link with nothing; vectors of different lengths do not link; ids
-that tie keep a row each; an empty table gives an empty result.
+that tie keep a row each; other columns are never read, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, components, dealt, sliced, table, value, written
+from .common import column, components, dealt, numbered, place, salted_join, sliced, table, value, written
 
 THRESHOLD, PASSES, WINDOW, HASH_BITS, SEED = 0.93, 12, 48, 62, 20240607
-COUNT_BLOCK = 1024
+MARGIN = 0.015  # bytes are off by a tenth of this (one deviation)
+COUNT_BLOCK, SPREAD_BLOCK, SPREAD = 4096, 128, 8  # rows a verified block at most; smaller groups still go over several tasks
 RECALL = 0.99  # expected for an isolated pair at the threshold
 ORDER = ["pass", "label", "dim", "code", "node"]
 
@@ -52,6 +59,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _bytes(x: np.ndarray) -> pa.Array:
+    """Vectors in signed bytes, by their largest component."""
+    q = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    return pa.array([r.tobytes() for r in q], pa.binary())
+
+
+def _near(b: pa.RecordBatch) -> np.ndarray:
+    """Unit vectors of the bytes."""
+    a = column(b, "q")
+    x = np.frombuffer(b"".join(a.to_pylist()), dtype=np.int8).reshape(len(a), -1).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 def _codes(passes: int, bits: int, seed: int):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -63,9 +83,10 @@ def _codes(passes: int, bits: int, seed: int):
                 if dim not in planes:
                     planes[dim] = np.random.default_rng(seed + int(dim)).standard_normal((passes, bits, int(dim)))
                 x = _matrix(part)
+                q = _bytes(x)
                 for p in range(passes):
                     code = ((x @ planes[dim][p].T) > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int32)), column(part, "label"), column(part, "dim"), pa.array(code), column(part, "node"), column(part, "vec")], names=["pass", "label", "dim", "code", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, dtype=np.int32)), column(part, "label"), column(part, "dim"), pa.array(code), column(part, "node"), q], names=["pass", "label", "dim", "code", "node", "q"])
 
     return fn
 
@@ -77,7 +98,7 @@ def _windows(window: int, threshold: float, borders: bool):
         key, tail, tail_id = None, None, None
         for b in sliced(batches, ["pass", "label", "dim"]):
             now = (value(b, "pass"), value(b, "label"), value(b, "dim"))
-            x, ids = _unit(_matrix(b)), column(b, "node").to_numpy()
+            x, ids = _near(b), column(b, "node").to_numpy()
             old = 0
             if now == key:
                 old = len(tail)
@@ -87,7 +108,7 @@ def _windows(window: int, threshold: float, borders: bool):
             pairs = []
             for off in range(1, min(window, len(ids) - 1) + 1):
                 lo = max(0, old - off)
-                hit = np.flatnonzero(np.einsum("ij,ij->i", x[lo:-off], x[lo + off :]) >= threshold) + lo
+                hit = np.flatnonzero(np.einsum("ij,ij->i", x[lo:-off], x[lo + off :]) >= threshold - MARGIN) + lo
                 pairs.append(np.stack([hit, hit + off]))
             if not pairs:
                 continue
@@ -127,24 +148,52 @@ def _windows(window: int, threshold: float, borders: bool):
     return fn if borders else edges
 
 
+def _forest(close: np.ndarray, same: bool) -> np.ndarray:
+    """Spanning pairs ``(row, column)`` of the links of a block with itself or with another, breadth first."""
+    left = [np.ones(len(close), bool), np.ones(close.shape[1], bool)]
+    sides = (close, close.T)
+    if same:
+        left[1] = left[0]
+    out = [np.zeros((2, 0), dtype=np.int64)]
+    for first in range(len(close)):
+        if not left[0][first]:
+            continue
+        left[0][first], todo = False, [(0, first)]
+        while todo:
+            side, x = todo.pop()
+            near = np.flatnonzero(sides[side][x] & left[1 - side])
+            if len(near):
+                left[1 - side][near] = False
+                pair = np.stack([np.full(len(near), x), near])
+                out.append(pair if side == 0 else pair[::-1])
+                todo += [(0 if same else 1 - side, y) for y in near.tolist()]
+    return np.concatenate(out, axis=1)
+
+
 def _counts(threshold: float):
+    """Rows ``(node, n, b)``: the links counted in a block, and (``n`` null) a verified pair."""
     def count(parts: list[pa.RecordBatch], i: int, j: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         x, ids, m, blk = _unit(_matrix(t)), column(t, "node").to_numpy(), column(t, "mult").to_numpy(), column(t, "blk").to_numpy()
         n = np.zeros(len(ids), dtype=np.int64)
         a, c = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        close = x[a] @ x[c].T
-        # sums in another order may differ in the last place: redo those near the border one by one
-        near = np.argwhere(np.abs(close - threshold) < 1e-9)
-        close[near[:, 0], near[:, 1]] = np.einsum("ij,ij->i", x[a[near[:, 0]]], x[c[near[:, 1]]])
-        close = close >= threshold
+        close = np.empty((len(a), len(c)), dtype=bool)
+        for lo in range(0, len(a), 512):
+            some = a[lo : lo + 512]
+            cos = x[some] @ x[c].T
+            # sums in another order may differ in the last place: redo those near the border one by one
+            near = np.argwhere(np.abs(cos - threshold) < 1e-9)
+            cos[near[:, 0], near[:, 1]] = np.einsum("ij,ij->i", x[some[near[:, 0]]], x[c[near[:, 1]]])
+            close[lo : lo + 512] = cos >= threshold
         if i == j:
             np.fill_diagonal(close, False)
             n[a] = close @ m[c]
         else:
             n[a] += close @ m[c]
             n[c] += m[a] @ close
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["node", "n"])
+        pair = _forest(close, i == j)
+        node, other = np.concatenate([ids, ids[a[pair[0]]]]), ids[c[pair[1]]]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.concat_arrays([pa.array(n), pa.nulls(len(other), pa.int64())]), pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(other)])], names=["node", "n", "b"])
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, parts = None, []
@@ -163,33 +212,39 @@ def _counts(threshold: float):
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, passes: int | None = None, window: int = WINDOW, hash_bits: int = HASH_BITS, seed: int = SEED) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)``, one row a vector."""
-    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("vec"))
+    d = numbered(vectors)
+    v = d.select(F.col(place(vectors, id_col)).cast("long").alias("id"), F.col(place(vectors, label_col)).cast("long").alias("label"), F.col(place(vectors, vec_col)).alias("vec"))
     inf = float("inf")
     sound = F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (x < inf) & (x > -inf)) & F.exists("vec", lambda x: x != 0)
     v = v.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("vec", F.when(F.col("sound"), F.transform("vec", lambda x: x + F.lit(0.0).cast("float"))))
-    v = v.withColumn("node", F.when(F.col("sound"), F.xxhash64("label", "vec")))
-    v = written(v, "vectors")
+    for k in ("h", "g"):
+        v = v.withColumn(k, F.when(F.col("sound"), F.xxhash64(F.lit(k), "label", "vec")))
     good = v.where("sound")
-    classes = written(good.groupBy("node").agg(F.count("*").alias("mult"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec")), "classes")
+    classes = good.groupBy("h", "g").agg(F.count("*").alias("mult"), F.min("id").alias("first"), F.first("label").alias("label"), F.first("vec").alias("vec")).withColumn("dim", F.size("vec"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     if passes is None:
         passes = passes_for(classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0, threshold, window)
-    schema = f"pass int, label long, dim int, code long, node long, vec {v.schema['vec'].dataType.simpleString()}"
+    schema = "pass int, label long, dim int, code long, node long, q binary"
     coded = classes.select("label", "dim", "node", "vec").mapInArrow(_codes(passes, hash_bits, seed), schema)
     n = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     compared = written(coded.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).mapInArrow(_windows(window, threshold, True), f"a long, b long, {schema}"), "vecwindows")
     border = dealt(compared.where("a IS NULL").select(*coded.columns), *ORDER).mapInArrow(_windows(window, threshold, False), "a long, b long")
     edges = compared.where("a IS NOT NULL").select("a", "b").unionByName(border)
-    linked = written(components(edges, "veccc"), "vecroots")
-    sizes = linked.groupBy("root").agg(F.ceil(F.count("*") / COUNT_BLOCK).cast("int").alias("blocks"))
-    at = classes.select("node", "mult", "vec").join(linked, "node").join(sizes, "root")
+    met = written(components(edges, "veccc"), "vecmet")
+    size = F.count("*")
+    sizes = met.groupBy("root").agg(F.greatest(F.least(F.lit(SPREAD), F.ceil(size / SPREAD_BLOCK)), F.ceil(size / COUNT_BLOCK)).cast("int").alias("blocks"))
+    at = classes.select("node", "mult", "vec").join(met, "node").join(sizes, "root")
     at = at.withColumn("blk", F.pmod(F.xxhash64(F.lit(7), "node"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     at = at.select("root", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "mult", "vec").withColumn("b", F.xxhash64("root", "i", "j"))
-    counted = dealt(at, "b", "root", "i", "j").drop("b").mapInArrow(_counts(threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    of = classes.select("node", "mult", "first").join(linked, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    verified = written(dealt(at, "b", "root", "i", "j").drop("b").mapInArrow(_counts(threshold), "node long, n long, b long"), "verified")
+    counted = verified.where("n IS NOT NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    linked = components(verified.where("n IS NULL").select(F.col("node").alias("a"), "b"), "veclinks")
+    of = classes.select("node", "h", "g", "mult", "first").join(linked, "node", "left").join(counted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(least, "root").select("node", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id")
-    linked_rows = v.where("sound").select("id", "node").join(of, "node").select("id", "links", "component_id")
-    rows = linked_rows.unionByName(v.where("NOT sound").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component_id")))
+    of = of.join(least, "root").select("h", "g", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("links"), "component_id")
+    rows = salted_join(v.select("id", "h", "g"), of.withColumnRenamed("g", "og"), "h", ["id"])
+    same = F.col("g") == F.col("og")
+    rows = rows.where(F.col("h").isNull() | same).select("id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.when(F.col("h").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return rows.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
