@@ -487,7 +487,7 @@ def test_tool_calls(spark):
     c = duckdb.connect()
     c.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
     key = lambda r: (r[0], r[1], r[-1])
-    cols = ["conv_id", "turn", "call_id", "status", "level", "n_results", "canonical_json"]
+    cols = ["conv_id", "turn", "call_id", "name", "status", "level", "position", "n_results", "valid", "errors", "canonical_json"]
     got = sorted((tuple(r) for r in tool_calls.op3_tool_calls(spark, SF).select(cols).collect()), key=key)
     want = sorted(c.sql(f"select {', '.join(cols)} from ({tool_calls.ORACLE_SQL})").fetchall(), key=key)
     assert got == want
@@ -495,9 +495,22 @@ def test_tool_calls(spark):
     results = spark.createDataFrame([(1, 5, "a", "r"), (1, 6, "q", "lost")], "conv_id long, turn long, call_id string, content string")
     schemas = spark.createDataFrame([("t", "n", "BIGINT", True)], "name string, field string, type string, required boolean")
     by = {r.call_id: r for r in tool_calls.link_calls(calls, results, schemas).collect()}
+    assert sorted((r.position, r.call_id) for r in by.values() if r.conv_id and r.status != "orphan") == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
     assert {k: (r.status, r.level, r.errors) for k, r in by.items()} == {"a": ("linked", 0, ""), "b": ("unanswered", 1, "type of n; unknown z"), "c": ("cycle", None, "not an object"), "d": ("cycle", None, "no schema"), "q": ("orphan", None, ""), None: ("unanswered", None, "not an object")}
 
 
+def test_tool_calls_cases(spark, tmp_path):
+    """Null, long, repeated and clashing input: every turn gives a row, and an empty table none."""
+    rows = [(1, 0, "user", None, "x"), (1, 1, "assistant", None, "x"), (1, 2, "user", "long " * 30000, "x"), (1, 2, "user", "twice", "x"), (1, 2, "user", "twice", "x"), (None, 3, "user", "t", "x"), (2, None, "assistant", "t", "x"), (3, 7, "other", "t", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, level string")
+    for k, d in enumerate((df, df.limit(0))):
+        d.write.parquet(f"{tmp_path}/{k}/conversations.parquet")
+    got = tool_calls.op3_tool_calls(spark, f"{tmp_path}/0").collect()
+    assert sorted((r.conv_id or 0, r.position) for r in got if r.status != "orphan") == [(0, 0), (1, 0), (1, 1), (1, 2), (1, 3)]
+    assert [(r.status, r.n_results, r.errors) for r in got if (r.conv_id, r.turn) == (1, 0)] == [("linked", 1, "missing query")]
+    assert len(got) == 6 and tool_calls.op3_tool_calls(spark, f"{tmp_path}/1").count() == 0
+
+
 def test_classifiers(odd, none, spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = quality.scores(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
