@@ -1,21 +1,28 @@
 """Quality classifier by co-training two views (operator 4).
 
-The text view sees measures of the text (case, symbols, repetition, lengths, ...); the
-page-metadata view sees language, source and stated length.  Both are logistic
-models.  In every round each view labels the unlabelled documents it is surest of, at
-most ``GIVEN`` a class, and the other view learns from them.  Each view is then
-calibrated on the labelled documents, and a logistic function of the two calibrated
-logits scores all documents.  Views that know nothing get a weight near zero.
-
-Training uses at most ``SAMPLE`` labelled and ``POOL`` unlabelled documents, taken by
-a hash of their id (documented bounds); rows with ``crc32(id) mod 3 = 1`` are never
-learned from.  All documents are scored, in one pass without a shuffle.
-
-Defined cases: null and empty texts have zero measures; null metadata is a value of
-its own; with no labelled rows, or one class, every score is 1 (nothing is
+The text view sees the words of a document (log-odds of hashed words) and measures of
+its text (case, symbols, repetition, lengths, ...); the page-metadata view sees language,
+source and stated length, as log-odds of their values.  In every round each view scores
+all documents outside the held-out third; what it is surest of (``SURE``) becomes a
+pseudo-label from which the other view learns.  A view learns from counts: a round is one
+pass in which every task adds up the counts of its pseudo-labelled documents by class, so
+all rows take part, none is sampled, and what reaches the driver is bounded by the number
+of buckets.  Pseudo-labelled counts of a class weigh at most what its labelled ones do.
+
+Each view combines its inputs by a logistic function of the labelled documents (log-odds
+leave the document's own counts out), is calibrated out of fold, and a logistic function
+of the two calibrated logits scores all documents.  Views that know nothing get a weight
+near zero.
+
+Labelled documents are at most ``SAMPLE``, taken by a hash of their id (a documented
+bound); rows with ``crc32(id) mod 3 = 1`` are never learned from.
+
+Defined cases: null and empty texts have zero measures and no words; null metadata is a
+value of its own; with no labelled rows, or one class, every score is 1 (nothing is
 rejected); labels that repeat count once, low if any says so; repeated rows score
-alike; further columns pass through :func:`keep_good`; missing metadata columns
-count as null; an empty table gives an empty result.
+alike and count each; texts of any length are read whole; further columns, whatever their
+names, pass through :func:`keep_good`; missing metadata columns count as null; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,18 +30,20 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import table
-from .toxicity import held_out, logistic
+from .common import column, keyed, numbered, place, spread, table
+from .toxicity import held_out, labelled, logistic
 
-SAMPLE, POOL, ROUNDS, GIVEN, SURE, REJECT = 4000, 4000, 3, 200, 0.95, 0.3
-SOURCES, LANGS = 64, 16
+SAMPLE, ROUNDS, SURE, REJECT = 4000, 2, 0.95, 0.3
+SOURCES, LANGS, LENGTHS, WORDS, KEPT_WORDS = 64, 16, 16, 1 << 15, 300_000
+FOLDS, RIDGE = 5, 2.0
 _SYMBOLS, _ENDS = b"#$%&*@^~|<>{}[]\\=+_", b".,;:!?"
 _MARKED = re.compile(rb"[#$%&*@^~|=+!]+(?=\s|$)")
 
@@ -61,38 +70,86 @@ def measures(text: str | None) -> list[float]:
 N_TEXT = 20
 
 
-def metadata(lang: str | None, source: str | None, n_chars: float | None) -> list[float]:
-    out = [0.0] * (LANGS + SOURCES + 3)
-    out[zlib.crc32(f"l{lang}".encode("utf-8", "surrogatepass")) % LANGS] = 1.0
-    out[LANGS + zlib.crc32(f"s{source}".encode("utf-8", "surrogatepass")) % SOURCES] = 1.0
-    n = np.log1p(max(float(n_chars), 0.0)) / 10 if n_chars is not None and n_chars == n_chars else 0.0
-    out[-3:] = [n, n * n, float(not n)]
-    return out
+_BUCKETS: dict[bytes, int] = {}
 
 
-class View:
-    """Standardized inputs, their squares, and a logistic model with its calibration."""
+def word_buckets(text: str | None) -> np.ndarray:
+    """The distinct buckets of a text's lower-cased words."""
+    if len(_BUCKETS) > KEPT_WORDS:
+        _BUCKETS.clear()
+    out = set()
+    for w in set((text or "").encode("utf-8", "surrogatepass").lower().split()):
+        k = _BUCKETS.get(w)
+        if k is None:
+            k = _BUCKETS[w] = zlib.crc32(w) % WORDS
+        out.add(k)
+    return np.fromiter(out, dtype=np.int64, count=len(out))
+
+
+def metadata(lang: str | None, source: str | None, n_chars: float | None) -> np.ndarray:
+    """One value each of language, source and length."""
+    known = n_chars is not None and n_chars == n_chars
+    size = min(LENGTHS - 1, 1 + int(1.5 * np.log1p(max(float(n_chars), 0.0)))) if known else 0
+    raw = (zlib.crc32(f"l{lang}".encode("utf-8", "surrogatepass")) % LANGS, zlib.crc32(f"s{source}".encode("utf-8", "surrogatepass")) % SOURCES, size)
+    return np.array([raw[0], LANGS + raw[1], LANGS + SOURCES + raw[2]])
+
 
-    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float) -> View:
+class View:
+    """Log-odds of values (word buckets, or metadata cells) and, with measures, a logistic function of them."""
+
+    def __init__(self, size: int, single: bool):
+        self.size, self.single = size, single  # single: every value is an input of its own
+
+    def learn(self, values: list[np.ndarray], more: np.ndarray, y: np.ndarray, counts: np.ndarray, docs: np.ndarray) -> View:
+        """From labelled documents, and pseudo-labelled ``counts[class, value]`` of ``docs[class]`` documents."""
+        own, n = np.zeros((2, self.size)), np.array([(y == 0).sum(), (y == 1).sum()], dtype=float)
+        for v, label in zip(values, y, strict=True):
+            own[int(label), v] += 1
+        weight = np.minimum(1.0, n / np.maximum(docs, 1))
+        self.c, self.n = own + weight[:, None] * counts, n + weight * docs
+        x = self.inputs(values, more, y)
         self.mean, self.sd = x.mean(axis=0), x.std(axis=0) + 1e-3
-        self.w = logistic(self.inputs(x), y, ridge)
+        self.w, self.held = logistic(self.scaled(x), y, RIDGE), np.zeros(len(y))
+        fold = np.arange(len(y)) % FOLDS
+        for k in range(FOLDS):
+            if len(set(y[fold != k])) == 2:
+                self.held[fold == k] = self.scaled(x[fold == k]) @ logistic(self.scaled(x[fold != k]), y[fold != k], RIDGE)
+        self.calibration = logistic(np.stack([self.held, np.ones(len(y))], axis=1), y)
         return self
 
-    def inputs(self, x: np.ndarray) -> np.ndarray:
+    def inputs(self, values: list[np.ndarray], more: np.ndarray, y: np.ndarray | None = None) -> np.ndarray:
+        """With ``y`` the rows' own counts are left out of their log-odds."""
+        out = []
+        for k, v in enumerate(values):
+            c0, c1, n0, n1 = self.c[0, v], self.c[1, v], *self.n
+            if y is not None:
+                c0, c1, n0, n1 = (c0, c1 - 1, n0, n1 - 1) if y[k] else (c0 - 1, c1, n0 - 1, n1)
+            odds = (np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))) * (c0 + c1) / (c0 + c1 + 2)
+            out.append(odds if self.single else [odds.mean(), odds.sum() / len(odds) ** 0.5] if len(odds) else [0.0, 0.0])
+        return np.concatenate([np.array(out, dtype=float).reshape(len(values), -1), more], axis=1)
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.sd, -4, 4)
         return np.concatenate([z, z * z / 4, np.ones((len(z), 1))], axis=1)
 
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self.inputs(x) @ self.w, -12, 12)
+    def calibrated(self, logit: np.ndarray) -> np.ndarray:
+        return np.clip(np.stack([logit, np.ones(len(logit))], axis=1) @ self.calibration, -12, 12)
+
+    def logit(self, values: list[np.ndarray], more: np.ndarray) -> np.ndarray:
+        return self.calibrated(self.scaled(self.inputs(values, more)) @ self.w)
+
+
+class Documents:
+    """What both views see of some rows."""
 
+    def __init__(self, texts: list, langs: list, sources: list, sizes: list):
+        self.words = [word_buckets(t) for t in texts]
+        self.measures = np.array([measures(t) for t in texts]).reshape(-1, N_TEXT)
+        self.cells = [metadata(*r) for r in zip(langs, sources, sizes, strict=True)]
+        self.none = np.zeros((len(texts), 0))
 
-def _out_of_fold(x: np.ndarray, y: np.ndarray, more: tuple, ridge: float, folds: int = 5) -> np.ndarray:
-    out = np.zeros(len(y))
-    f = np.arange(len(y)) % folds
-    for k in range(folds):
-        v = View().fit(np.concatenate([x[f != k], more[0]]), np.concatenate([y[f != k], more[1]]), ridge)
-        out[f == k] = v.logit(x[f == k])
-    return out
+    def both(self) -> tuple:
+        return (self.words, self.measures), (self.cells, self.none)
 
 
 class Model:
@@ -100,75 +157,101 @@ class Model:
 
     views: tuple[View, View] | None = None
 
-    def fit(self, xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray) -> Model:
-        if not len(y) or not 0 < y.sum() < len(y):
-            return self
+    def learn(self, sample: Documents, y: np.ndarray, pseudo: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """``pseudo`` holds each view's ``(counts, docs)`` of pseudo-labelled documents."""
         y = y.astype(np.float64)
-        ridge = (1.0, 3.0)
-        own = [xt, xm]
-        pool = [ut, um]
-        given = [(np.zeros((0, x.shape[1])), np.zeros(0)) for x in own]
-        free = np.ones(len(ut), dtype=bool)
-        for _ in range(ROUNDS):
-            views = [View().fit(np.concatenate([x, g[0]]), np.concatenate([y, g[1]]), r) for x, g, r in zip(own, given, ridge, strict=True)]
-            for k, v in enumerate(views):
-                p = 1 / (1 + np.exp(-v.logit(pool[k]))) if len(ut) else np.zeros(0)
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    at = np.flatnonzero(free & (sure >= SURE))
-                    share = max(1, int(GIVEN * (y.mean() if label else 1 - y.mean())))
-                    at = at[np.argsort(-sure[at], kind="stable")][:share]
-                    free[at] = False
-                    other = 1 - k
-                    given[other] = (np.concatenate([given[other][0], pool[other][at]]), np.append(given[other][1], np.full(len(at), label)))
-        self.views = tuple(View().fit(np.concatenate([x, g[0]]), np.concatenate([y, g[1]]), r) for x, g, r in zip(own, given, ridge, strict=True))
-        held = [_out_of_fold(x, y, g, r) for x, g, r in zip(own, given, ridge, strict=True)]
-        self.calibration = [logistic(np.stack([h, np.ones(len(h))], axis=1), y) for h in held]
-        both = [np.stack([h, np.ones(len(h))], axis=1) @ c for h, c in zip(held, self.calibration, strict=True)]
-        self.top = logistic(np.stack([*both, np.ones(len(y))], axis=1), y)
+        text, page = sample.both()
+        self.views = (View(WORDS, False).learn(*text, y, *pseudo[0]), View(LANGS + SOURCES + LENGTHS, True).learn(*page, y, *pseudo[1]))
+        self.top = logistic(np.stack([*(v.calibrated(v.held) for v in self.views), np.ones(len(y))], axis=1), y)
         return self
 
-    def score(self, xt: np.ndarray, xm: np.ndarray) -> np.ndarray:
+    def score(self, d: Documents) -> np.ndarray:
         if self.views is None:
-            return np.ones(len(xt))
-        both = [np.stack([v.logit(x), np.ones(len(x))], axis=1) @ c for v, x, c in zip(self.views, (xt, xm), self.calibration, strict=True)]
-        return 1 / (1 + np.exp(-np.clip(np.stack([*both, np.ones(len(xt))], axis=1) @ self.top, -30, 30)))
+            return np.ones(len(d.words))
+        both = [v.logit(*x) for v, x in zip(self.views, d.both(), strict=True)]
+        return 1 / (1 + np.exp(-np.clip(np.stack([*both, np.ones(len(d.words))], axis=1) @ self.top, -30, 30)))
 
 
-def _view_columns(docs: DataFrame, text_col: str) -> list[F.Column]:
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text, lang, source, n)``, missing columns null."""
     def own(name: str, kind: str) -> F.Column:
-        return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind)
-
-    return [F.col(text_col).cast("string").alias("__nl_text"), own("lang", "string").alias("__nl_lang"), own("source", "string").alias("__nl_source"), own("n_chars", "double").alias("__nl_n")]
-
-
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _measured(text: pd.Series) -> pd.Series:
-    return pd.Series([measures(t) for t in text])
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__nl_id")).agg(F.min("quality").alias("__nl_y"))
-    known = known.where(~held_out("__nl_id")).orderBy(F.xxhash64("__nl_id"), "__nl_id").limit(SAMPLE)
-    rows = docs.select(F.col(id_col).cast("long").alias("__nl_id"), *_view_columns(docs, text_col))
-    mine = rows.join(F.broadcast(known), "__nl_id").withColumn("__nl_x", _measured("__nl_text")).drop("__nl_text").dropDuplicates(["__nl_id"]).collect()
-    mine.sort(key=lambda r: r["__nl_id"])
-    ids = rows.select("__nl_id").where("__nl_id IS NOT NULL").where(~held_out("__nl_id")).join(labels.select(F.col("doc_id").cast("long").alias("__nl_id")).distinct(), "__nl_id", "left_anti")
-    ids = ids.distinct().orderBy(F.xxhash64("__nl_id"), "__nl_id").limit(POOL)
-    pool = rows.join(F.broadcast(ids), "__nl_id").withColumn("__nl_x", _measured("__nl_text")).drop("__nl_text").dropDuplicates(["__nl_id"]).collect()
-    pool.sort(key=lambda r: r["__nl_id"])
-
-    def views(rs: list) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r["__nl_x"] for r in rs]).reshape(-1, N_TEXT), np.array([metadata(r["__nl_lang"], r["__nl_source"], r["__nl_n"]) for r in rs]).reshape(-1, LANGS + SOURCES + 3)
-
-    return Model().fit(*views(mine), np.array([r["__nl_y"] for r in mine]), *views(pool))
+        at = place(docs, name)
+        return (F.col(at) if at else F.lit(None)).cast(kind)
+
+    return keyed(docs, id_col, text_col, own("lang", "string").alias("lang"), own("source", "string").alias("source"), own("n_chars", "double").alias("n"))
+
+
+def _seen(b: pa.RecordBatch) -> Documents:
+    return Documents(*(column(b, c).to_pylist() for c in ("text", "lang", "source", "n")))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in _pieces(batches):
+        d = _seen(b)
+        yield pa.RecordBatch.from_arrays([column(b, "id"), column(b, "low"), pa.array([x.tolist() for x in d.words], pa.list_(pa.int64())), pa.array(d.measures.tolist(), pa.list_(pa.float64())), pa.array([x.tolist() for x in d.cells], pa.list_(pa.int64()))], names=["id", "y", "words", "measures", "cells"])
+
+
+def _exchange(model: Model):
+    """Counts ``(view, label, value, n)`` for each view of the documents the other view is sure of; value -1 counts documents."""
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((2, v.size + 1)) for v in model.views]
+        for b in _pieces(batches):
+            d = _seen(b)
+            inputs = d.both()
+            for k, v in enumerate(model.views):
+                p = 1 / (1 + np.exp(-v.logit(*inputs[k])))
+                other = inputs[1 - k][0]
+                for label, sure in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero(sure >= SURE)
+                    sums[1 - k][label, -1] += len(at)
+                    if len(at):
+                        sums[1 - k][label, :-1] += np.bincount(np.concatenate([other[i] for i in at]), minlength=sums[1 - k].shape[1] - 1)
+        for view, s in enumerate(sums):
+            label, value = np.nonzero(s)
+            n = s[label, value]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), view), pa.int32()), pa.array(label, pa.int32()), pa.array(np.where(value == s.shape[1] - 1, -1, value), pa.int32()), pa.array(n)], names=["view", "label", "value", "n"])
+
+    return fn
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Model:
+    rows = rows_of(docs, id_col, text_col)
+    known = labelled(docs, labels, "quality", SAMPLE).select("id", "low")
+    mine = rows.join(F.broadcast(known), "id").dropDuplicates(["id"]).mapInArrow(_sample, "id long, y int, words array<long>, measures array<double>, cells array<long>").collect()
+    mine.sort(key=lambda r: r.id)
+    y = np.array([r.y for r in mine])
+    model = Model()
+    if not len(y) or not 0 < y.sum() < len(y):
+        return model
+    sample = Documents([], [], [], [])
+    sample.words, sample.cells = [np.array(r.words, dtype=np.int64) for r in mine], [np.array(r.cells) for r in mine]
+    sample.measures, sample.none = np.array([r.measures for r in mine]), np.zeros((len(mine), 0))
+    none = [(np.zeros((2, n)), np.zeros(2)) for n in (WORDS, LANGS + SOURCES + LENGTHS)]
+    model.learn(sample, y, none)
+    free = rows.where(~held_out("id"))
+    for _ in range(rounds):
+        counts = [(np.zeros_like(c), np.zeros(2)) for c, _ in none]
+        for r in free.mapInArrow(_exchange(model), "view int, label int, value int, n double").groupBy("view", "label", "value").agg(F.sum("n").alias("n")).collect():
+            if r.value < 0:
+                counts[r.view][1][r.label] = r.n
+            else:
+                counts[r.view][0][r.label, r.value] = r.n
+        model = Model().learn(sample, y, counts)
+    return model
 
 
 def scorer(model: Model):
     @F.pandas_udf("double")
     def of(text: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.Series:
-        xt = np.array([measures(t) for t in text]).reshape(-1, N_TEXT)
-        xm = np.array([metadata(*r) for r in zip(lang, source, n, strict=True)]).reshape(-1, LANGS + SOURCES + 3)
-        return pd.Series(model.score(xt, xm))
+        step = 2000
+        out = [model.score(Documents(*(x.iloc[lo : lo + step].tolist() for x in (text, lang, source, n)))) for lo in range(0, len(text), step)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
     return of
 
@@ -176,14 +259,16 @@ def scorer(model: Model):
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, kept)``: the probability of good quality of every document."""
     of = scorer(fit(docs, labels, id_col, text_col))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), of(*_view_columns(docs, text_col)).alias("score"))
+    out = rows_of(docs, id_col, text_col).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), of("text", "lang", "source", "n").alias("score"))
     return out.withColumn("kept", F.col("score") > REJECT)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are not rejected, all columns as they were."""
     of = scorer(fit(docs, labels, id_col, text_col))
-    return docs.withColumn("__nl_score", of(*_view_columns(docs, text_col))).where(F.col("__nl_score") > REJECT).drop("__nl_score")
+    at = [place(docs, c) for c in (text_col, "lang", "source", "n_chars")]
+    seen = [(F.col(c) if c else F.lit(None)).cast(kind) for c, kind in zip(at, ("string", "string", "string", "double"), strict=True)]
+    return spread(numbered(docs)).withColumn("score", of(*seen)).where(F.col("score") > REJECT).drop("score").toDF(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
