@@ -1,22 +1,25 @@
 """Toxicity scores of a bidirectional gated recurrent network (operator 5).
 
-Inputs of a word are one word-level and five character-level evidences (the first 3,
-4 and 5 characters, the last 3, the strongest trigram): smoothed log-odds of the
-labels among training documents.  Two gated recurrent layers read a window in both
-directions, attention pools their states, and a linear unit gives the window's logit.
-A document is cut into overlapping windows that cover every word; its score is a
-logistic function of its highest window logit and its number of windows.
-
-Training is plain numpy on the driver, on at most ``SAMPLE`` labelled documents taken
-by a hash of their id (a documented bound); rows with ``crc32(id) mod 3 = 1`` are never
-used.  Evidence for a training document comes from the other fifths of the sample,
-so the network sees words as it will see them in new documents.
+Inputs of a word are its learned word vector and the mean of the learned vectors of its
+character n-grams (first 3, 4 and 5 characters, last 3, all trigrams); words and n-grams
+of fewer than two training documents share the zero vector.  Two gated recurrent layers
+read a window in both directions, attention pools their states, and a linear unit gives
+the window's logit.  A document is cut into overlapping windows that cover every word;
+its score is a logistic function of its highest window logit and its number of windows.
+
+Training is plain numpy on the driver, through network and vectors alike, on at most
+``SAMPLE`` labelled documents taken by a hash of their id (a documented bound); rows with
+``crc32(id) mod 3 = 1`` are never used.  A label belongs to a document, not to a window:
+the windows learned from are those of the words most frequent in toxic documents at
+first, then those the network itself scores highest.  The final logistic function is
+fitted on the fifth of the sample the network did not learn from.
 
 Inputs of a score are the text alone.  Defined cases: null and empty texts have one
-window without words; a null id is held out or not by the hash of the empty string
-and never labelled; labels that repeat count once, toxic if any says so; with no
-labelled rows every score is 0.5; repeated rows score alike; further columns pass
-through :func:`keep_clean`; an empty table gives an empty result.
+window without words; a text of any length costs memory for its own windows only; a null
+id is held out or not by the hash of the empty string and never labelled; labels that
+repeat count once, toxic if any says so; with no labelled rows every score is 0.5;
+repeated rows score alike; further columns, whatever their names, pass through
+:func:`keep_clean`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import keyed, numbered, place, spread, table
 
-SAMPLE, WINDOW, STRIDE, HIDDEN, EPOCHS, SEED = 2500, 64, 48, 8, 3, 5
-FOLDS, HELD_FOLD, THRESHOLD = 3, 1, 0.7
-INPUTS, LIMIT, KEPT_UNITS, DOC_STEP = 6, 5.0, 400_000, 200
+SAMPLE, WINDOW, STRIDE, HIDDEN, ROUNDS, SEED = 2500, 64, 48, 8, 3, 5
+FOLDS, HELD_FOLD, THRESHOLD, DECAY = 3, 1, 0.7, 1e-2
+LIMIT, INIT, RIDGE = 5.0, 1.0, 0.1
+VECTOR, INPUTS, LEAST_DOCS, KEPT_UNITS, DOC_STEP = 8, 16, 2, 400_000, 200
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -42,19 +46,18 @@ def held_out(id_col) -> F.Column:
 
 
 def parts(unit: str) -> list[str]:
-    """The evidence keys of a unit; the kind leads, the last are trigrams."""
+    """The keys of a unit: its word, then its character n-grams."""
     w = _EDGE.sub("", unit)
     if not w:
         return []
-    tri = [f"t{w[i : i + 3]}" for i in range(len(w) - 2)]
-    return [f"w{w}", f"a{w[:3]}", f"b{w[:4]}", f"c{w[:5]}", f"z{w[-3:]}", *tri]
+    return [f"w{w}", f"a{w[:3]}", f"b{w[:4]}", f"c{w[:5]}", f"z{w[-3:]}", *(f"t{w[i : i + 3]}" for i in range(len(w) - 2))]
 
 
-class Evidence:
-    """Log-odds by key; units met are kept, up to a bound."""
+class Vectors:
+    """Learned vectors by key, 0 for unknown keys; the inputs of units met are kept, up to a bound."""
 
-    def __init__(self, odds: dict[str, float]):
-        self.odds = odds
+    def __init__(self, index: dict[str, int], values: np.ndarray):
+        self.index, self.values = index, values
         self.forget()
 
     def forget(self) -> None:
@@ -62,27 +65,30 @@ class Evidence:
         self.rows = np.zeros((1024, INPUTS), dtype=np.float32)
 
     def __getstate__(self):
-        return {"odds": self.odds}
+        return {"index": self.index, "values": self.values}
 
     def __setstate__(self, state):
-        self.__init__(state["odds"])
+        self.__init__(**state)
 
     def at(self, units: list[str]) -> np.ndarray:
         try:
             return np.fromiter(map(self.kept.__getitem__, units), dtype=np.int64, count=len(units))
         except KeyError:
             pass
-        get = self.odds.get
-        for u in set(units).difference(self.kept):
-            k = len(self.kept)
-            self.kept[u] = k
-            if k == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            p = parts(u)
-            if p:
-                r = [get(x, 0.0) for x in p]
-                self.rows[k, :5] = r[:5]
-                self.rows[k, 5] = max(r[5:], default=0.0)
+        get = self.index.get
+        new = list(set(units).difference(self.kept))
+        first = len(self.kept)
+        self.kept.update(zip(new, range(first, first + len(new)), strict=True))
+        while first + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        own = [[get(x, 0) for x in parts(u)] or [0, 0] for u in new]
+        size = np.array([len(k) for k in own])
+        flat = np.array([x for k in own for x in k])
+        heads = np.cumsum(size) - size
+        values = self.values[flat]
+        word = values[heads]
+        self.rows[first : first + len(new), :VECTOR] = word
+        self.rows[first : first + len(new), VECTOR:] = (np.add.reduceat(values, heads, axis=0) - word) / np.maximum(size - 1, 1)[:, None]
         return np.fromiter(map(self.kept.__getitem__, units), dtype=np.int64, count=len(units))
 
 
@@ -90,35 +96,56 @@ def units(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-class Keys:
-    """The evidence keys of documents as numbers, and their counts by fold and label."""
-
-    def __init__(self, docs: list[list[str]], y: np.ndarray, fold: np.ndarray):
-        number: dict[str, int] = {}
-        of_unit: dict[str, np.ndarray] = {}
-        for u in {u for d in docs for u in d}:
-            of_unit[u] = np.array([number.setdefault(k, len(number)) for k in parts(u)], dtype=np.int64)
-        self.names, self.y, self.fold = list(number), y, fold
-        none = np.zeros(0, dtype=np.int64)
-        own = [np.unique(np.concatenate([of_unit[u] for u in set(d)] or [none])) for d in docs]
-        self.counts = {}
-        for f in np.unique(fold):
-            for t in (0, 1):
-                at = np.flatnonzero((fold == f) & (y == t))
-                self.counts[f, t] = np.bincount(np.concatenate([own[i] for i in at] or [none]), minlength=len(number)), len(at)
-
-    def odds(self, without: int | None = None) -> dict[str, float]:
-        """Log-odds of document frequencies, for keys in two documents or more; scaled down where evidence is thin."""
-        c, n = [], []
-        for t in (0, 1):
-            use = [v for (f, label), v in self.counts.items() if label == t and f != without]
-            c.append(sum(v[0] for v in use))
-            n.append(sum(v[1] for v in use))
-        both = c[0] + c[1]
-        v = np.log((c[1] + 0.5) / (n[1] + 1.0)) - np.log((c[0] + 0.5) / (n[0] + 1.0))
-        v = np.clip(v * both / (both + 2.0), -LIMIT, LIMIT)
-        at = np.flatnonzero((both >= 2) & (np.abs(v) > 0.2))
-        return {self.names[i]: x for i, x in zip(at.tolist(), v[at].tolist(), strict=True)}
+class Lexicon:
+    """Numbers of the training units and of their keys, as flat arrays."""
+
+    def __init__(self, docs: list[list[str]], learn: np.ndarray):
+        number = {"": 0}
+        self.docs = [np.fromiter((number.setdefault(u, len(number)) for u in d), dtype=np.int64, count=len(d)) for d in docs]
+        own = [parts(u) for u in number]
+        met: dict[str, int] = {}
+        for i in learn:
+            for k in {k for u in set(self.docs[i].tolist()) for k in own[u]}:
+                met[k] = met.get(k, 0) + 1
+        self.index = {k: n + 1 for n, k in enumerate(k for k, n in met.items() if n >= LEAST_DOCS)}
+        self.word = np.array([self.index.get(p[0], 0) if p else 0 for p in own])
+        grams = [[self.index.get(k, 0) for k in p[1:]] for p in own]
+        self.size = np.array([len(g) for g in grams])
+        self.start = np.append(0, np.cumsum(self.size))
+        self.gram = np.array([k for g in grams for k in g], dtype=np.int64)
+
+    def odds(self, y: np.ndarray, learn: np.ndarray) -> np.ndarray:
+        """Log-odds of each key in toxic against other documents, smaller where documents are few."""
+        n = len(self.index) + 1
+        c = [np.zeros(n), np.zeros(n)]
+        for i in learn:
+            u = np.unique(self.docs[i])
+            size = self.size[u]
+            flat = self.gram[np.repeat(self.start[u] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            c[int(y[i])][np.unique(np.concatenate([self.word[u], flat]))] += 1
+        v = np.log((c[1] + 0.5) / (1 + (y[learn] == 1).sum())) - np.log((c[0] + 0.5) / (1 + (y[learn] == 0).sum()))
+        v *= (c[0] + c[1]) / (c[0] + c[1] + 2)
+        v[0] = 0
+        return np.clip(v, -LIMIT, LIMIT)
+
+    def inputs(self, units: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """Input rows of distinct units, and what their gradient needs."""
+        n = self.size[units]
+        owner = np.repeat(np.arange(len(units)), n)
+        flat = self.gram[np.repeat(self.start[units] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        means = np.zeros((len(units), VECTOR), dtype=np.float32)
+        share = (1 / np.maximum(n, 1)).astype(np.float32)
+        for k in range(VECTOR):
+            means[:, k] = np.bincount(owner, weights=values[flat, k], minlength=len(units)) * share
+        return np.concatenate([values[self.word[units]], means], axis=1), (units, owner, flat, share)
+
+    def gradient(self, seen: tuple, g: np.ndarray, n: int) -> np.ndarray:
+        units, owner, flat, share = seen
+        out = np.empty((n, VECTOR), dtype=np.float32)
+        for k in range(VECTOR):
+            out[:, k] = np.bincount(self.word[units], weights=g[:, k], minlength=n) + np.bincount(flat, weights=(g[:, VECTOR + k] * share)[owner], minlength=n)
+        out[0] = 0
+        return out
 
 
 def starts(n: int) -> np.ndarray:
@@ -169,9 +196,10 @@ class Network:
             keep |= {"both": both, "u": u, "w": w, "c": c}
         return c @ p["o"] + p["ob"]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict, np.ndarray]:
         keep: dict = {}
         h, p = HIDDEN, self.p
+        gin = np.zeros_like(x)
         s = self.forward(x, mask, keep)
         prob = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
         ds = ((prob - y) * weight / weight.sum()).astype(np.float32)
@@ -197,36 +225,33 @@ class Network:
                 dr = dn * ghn * r * (1 - r)
                 dx, dg = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
                 gx += x[t].T @ dx
+                gin[t] += dx @ p["x" + d].T
                 gc += dx.sum(axis=0)
                 gh += state.T @ dg
                 carry += dh * z + dg @ p["h" + d].T
             g |= {"x" + d: gx, "h" + d: gh, "c" + d: gc}
         loss = float((weight * np.where(y > 0, -np.log(prob + 1e-9), -np.log(1 - prob + 1e-9))).sum() / weight.sum())
-        return loss, g
-
-    def fit(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS, batch: int = 160, rate: float = 0.02) -> None:
-        weight = np.where(y > 0, max(1.0, min(4.0, (len(y) - y.sum()) / max(1.0, 2 * y.sum()))), 1.0)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step, rounds = 0, max(epochs, -(-150 * batch // max(len(y), 1)))  # small samples pass more often
-        for _ in range(min(rounds, 60)):
-            order = rng.permutation(len(y))
-            for lo in range(0, len(order), batch):
-                at = order[lo : lo + batch]
-                _, g = self.gradients(x[:, at], mask[:, at], y[at], weight[at])
-                step += 1
-                for k, d in g.items():
-                    d = d + 1e-4 * self.p[k]
-                    m[k] = 0.9 * m[k] + 0.1 * d
-                    v2[k] = 0.99 * v2[k] + 0.01 * d * d
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        return loss, g, gin
+
+
+class Adam:
+    def __init__(self, rate: float):
+        self.rate, self.step, self.m, self.v = rate, 0, {}, {}
+
+    def move(self, p: dict, g: dict, decay: float) -> None:
+        self.step += 1
+        for k, d in g.items():
+            d = d + decay * p[k]
+            self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * d
+            self.v[k] = 0.99 * self.v.get(k, 0) + 0.01 * d * d
+            p[k] = (p[k] - self.rate * (self.m[k] / (1 - 0.9**self.step)) / (np.sqrt(self.v[k] / (1 - 0.99**self.step)) + 1e-6)).astype(np.float32)
 
 
 class Model:
-    """Evidence, network and the document's logistic function."""
+    """Vectors, network and the document's logistic function."""
 
-    def __init__(self, evidence: Evidence | None, net: Network | None, top: np.ndarray):
-        self.evidence, self.net, self.top = evidence, net, top
+    def __init__(self, vectors: Vectors | None, net: Network | None, top: np.ndarray):
+        self.vectors, self.net, self.top = vectors, net, top
 
     def windows(self, at: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Units ``(time, window)``, mask, and each window's document."""
@@ -247,24 +272,28 @@ class Model:
     def logits(self, at: list[np.ndarray], rows_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Highest window logit and number of windows of each document."""
         rows, mask, owner = self.windows(at)
-        s = np.zeros(len(owner), np.float32)
+        s = self.each(rows, mask, rows_of)
+        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        return np.maximum.reduceat(s, cuts), np.diff(np.append(cuts, len(owner)))
+
+    def each(self, rows: np.ndarray, mask: np.ndarray, rows_of: np.ndarray) -> np.ndarray:
+        s = np.zeros(rows.shape[1], np.float32)
         whole = mask.all(axis=0)
         for group in (np.flatnonzero(whole), np.flatnonzero(~whole)):
             for lo in range(0, len(group), 2048):
                 w = group[lo : lo + 2048]
                 s[w] = self.net.forward(rows_of[rows[:, w]], mask[:, w])
-        cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        return np.maximum.reduceat(s, cuts), np.diff(np.append(cuts, len(owner)))
+        return s
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.net is None:
             return np.full(len(texts), 0.5)
         out = []
         for lo in range(0, len(texts), DOC_STEP):
-            if len(self.evidence.kept) > KEPT_UNITS:
-                self.evidence.forget()
-            at = [self.evidence.at(units(t)) for t in texts[lo : lo + DOC_STEP]]
-            best, n = self.logits(at, self.evidence.rows)
+            if len(self.vectors.kept) > KEPT_UNITS:
+                self.vectors.forget()
+            at = [self.vectors.at(units(t)) for t in texts[lo : lo + DOC_STEP]]
+            best, n = self.logits(at, self.vectors.rows)
             out.append(1 / (1 + np.exp(-np.clip(np.stack([best, np.log(n), np.ones(len(n))], axis=1) @ self.top, -30, 30))))
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -277,51 +306,68 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
     return w
 
 
-def train(texts: list[str | None], y: np.ndarray, folds: int = 5) -> Model:
+def loudest(score: np.ndarray, owner: np.ndarray, most: int) -> np.ndarray:
+    """Windows of the ``most`` highest scores of each document."""
+    order = np.lexsort((-score, owner))
+    first = np.flatnonzero(np.append(True, owner[order][1:] != owner[order][:-1]))
+    return order[np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < most]
+
+
+def train(texts: list[str | None], y: np.ndarray, folds: int = 5, batch: int = 160) -> Model:
     """Fit on labelled texts; see the module's text."""
     y = np.asarray(y, dtype=np.float64)
     if not len(y) or not 0 < y.sum() < len(y):
         return Model(None, None, np.zeros(3))
     rng = np.random.default_rng(SEED)
-    words = [units(t) for t in texts]
-    fold = np.arange(len(y)) % folds
-    keys = Keys(words, y, fold)
-    at: list[np.ndarray] = []
-    stacks, base = [], 0
-    for f in range(folds):
-        e = Evidence(keys.odds(f))
-        for i in np.flatnonzero(fold == f):
-            at.append((i, base + e.at(words[i])))
-        stacks.append(e.rows[: len(e.kept)])
-        base += len(e.kept)
-    at = [a for _, a in sorted(at, key=lambda x: x[0])]
-    rows_of = np.concatenate(stacks)
-    model = Model(Evidence(keys.odds()), Network(rng), np.zeros(3))
-    rows, mask, owner = model.windows(at)
-    strong = rows_of.max(axis=1)
-    loud = np.where(mask, np.maximum(strong[rows] - 1.0, 0), 0).sum(axis=0) + 1e-6 * rng.random(len(owner))
-    order = np.lexsort((-loud, owner))
-    rank = np.arange(len(order)) - np.repeat(c := np.flatnonzero(np.append(True, owner[order][1:] != owner[order][:-1])), np.diff(np.append(c, len(order))))
-    pick = np.concatenate([order[rank < 2], order[(rank >= 2) & (rng.random(len(order)) < 0.15) & (y[owner[order]] == 0)]])
-    model.net.fit(rows_of[rows[:, pick]], mask[:, pick], y[owner[pick]], rng)
-    best, n = np.zeros(len(at)), np.zeros(len(at))
-    for lo in range(0, len(at), DOC_STEP):
-        best[lo : lo + DOC_STEP], n[lo : lo + DOC_STEP] = model.logits(at[lo : lo + DOC_STEP], rows_of)
-    model.top = logistic(np.stack([best, np.log(n), np.ones(len(n))], axis=1), y)
+    learn = np.arange(len(y)) % folds > 0
+    if len(set(y[learn])) < 2 or len(set(y[~learn])) < 2:
+        learn[:] = True
+    words = Lexicon([units(t) for t in texts], np.flatnonzero(learn))
+    model = Model(None, Network(rng), np.zeros(3))
+    rows, mask, owner = model.windows(words.docs)
+    p = {"values": (0.3 * rng.standard_normal((len(words.index) + 1, VECTOR))).astype(np.float32)}
+    odds = words.odds(y, np.flatnonzero(learn))
+    p["values"][:, 0] = odds * INIT
+    p["values"][0] = 0
+    opt, opt_net = Adam(0.02), Adam(0.02)
+    score = np.where(mask, np.maximum(odds[words.word] - 1, 0)[rows], 0).sum(axis=0) + 1e-6 * rng.random(len(owner))
+    everything = np.arange(len(words.word))
+    rounds = max(ROUNDS, min(60, -(-20 * batch // max(len(y), 1))))  # small samples pass more often
+    for k in range(rounds):
+        pick = loudest(score, owner, 2)
+        more = np.flatnonzero((rng.random(len(owner)) < 0.15) & (y[owner] == 0))
+        pick = np.unique(np.concatenate([pick, more]))
+        pick = rng.permutation(pick[learn[owner[pick]]])
+        truth = y[owner[pick]]
+        weight = np.where(truth > 0, max(1.0, min(4.0, (len(truth) - truth.sum()) / max(1.0, 2 * truth.sum()))), 1.0)
+        for lo in range(0, len(pick), batch):
+            at = pick[lo : lo + batch]
+            met, inv = np.unique(rows[:, at], return_inverse=True)
+            inv = inv.reshape(rows.shape[0], len(at))
+            inputs, seen = words.inputs(met, p["values"])
+            _, g, gin = model.net.gradients(inputs[inv], mask[:, at], truth[lo : lo + batch], weight[lo : lo + batch])
+            back = np.stack([np.bincount(inv.reshape(-1), weights=gin[:, :, j].reshape(-1), minlength=len(met)) for j in range(INPUTS)], axis=1)
+            opt_net.move(model.net.p, g, 1e-4)
+            opt.move(p, {"values": words.gradient(seen, back, len(p["values"]))}, DECAY)
+        score = model.each(rows, mask, words.inputs(everything, p["values"])[0])
+    model.vectors = Vectors(words.index, p["values"])
+    cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    best, n = np.maximum.reduceat(score, cuts), np.diff(np.append(cuts, len(owner)))
+    fit_on = ~learn if not learn.all() else learn
+    model.top = logistic(np.stack([best, np.log(n), np.ones(len(n))], axis=1)[fit_on], y[fit_on], RIDGE)
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, columns: list[str], bound: int) -> list:
-    """At most ``bound`` labelled rows outside the held-out third, taken by a hash of their id."""
-    ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("__nl_id")).agg(F.max(label).alias("__nl_y"))
-    ids = ids.where(~held_out("__nl_id")).orderBy(F.xxhash64("__nl_id"), "__nl_id").limit(bound)
-    rows = docs.select(F.col(id_col).cast("long").alias("__nl_id"), *columns).join(F.broadcast(ids), "__nl_id")
-    return sorted(rows.dropDuplicates(["__nl_id"]).collect(), key=lambda r: r["__nl_id"])
+def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
+    """``(id, y)`` of at most ``bound`` labelled rows outside the held-out third, taken by a hash of their id."""
+    known = numbered(labels).select(F.col(place(labels, "doc_id")).cast("long").alias("id"), F.col(place(labels, label)).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
+    return known.where(~held_out("id")).groupBy("id").agg(F.max("y").alias("y"), F.min("y").alias("low")).orderBy(F.xxhash64("id"), "id").limit(bound)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE) -> Model:
-    rows = labelled(docs, labels, "toxic", id_col, [F.col(text_col).cast("string").alias("__nl_text")], bound)
-    return train([r["__nl_text"] for r in rows], np.array([r["__nl_y"] for r in rows]))
+    rows = keyed(docs, id_col, text_col).join(F.broadcast(labelled(docs, labels, "toxic", bound)), "id").dropDuplicates(["id"]).select("id", "text", "y").collect()
+    rows.sort(key=lambda r: r.id)
+    return train([r.text for r in rows], np.array([r.y for r in rows]))
 
 
 def scorer(model: Model):
@@ -335,14 +381,15 @@ def scorer(model: Model):
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document."""
     of = scorer(fit(docs, labels, id_col, text_col))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), of(F.col(text_col).cast("string")).alias("score"))
+    out = keyed(docs, id_col, text_col).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), of("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a score below the threshold, all columns as they were."""
     of = scorer(fit(docs, labels, id_col, text_col))
-    return docs.withColumn("__nl_score", of(F.col(text_col).cast("string"))).where(F.col("__nl_score") < THRESHOLD).drop("__nl_score")
+    d = spread(numbered(docs))
+    return d.withColumn("score", of(F.col(place(docs, text_col)).cast("string"))).where(F.col("score") < THRESHOLD).drop("score").toDF(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
