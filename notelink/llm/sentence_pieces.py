@@ -13,12 +13,15 @@ places, where it occurs.  These edges are sorted by position and relaxed:
   vocabulary's own segmentation, this does.
 
 Characters that no piece covers become byte pieces.  The relaxed units are kept for
-later batches, up to a bound.  Decoding concatenates the pieces' bytes.
+later batches, up to a bound: what is indexed of a batch is the concatenation of its
+units not met before, since a unit's pieces are the same wherever it stands.  Decoding
+concatenates the pieces' bytes.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a
 text's own mark character decodes to a space, as the library does; long runs without
-white space are single units; repeated rows, null ids and further columns pass; an
-empty table gives an empty result.
+white space are single units; ids whose bytes are no text decode to U+FFFD in their
+places; repeated rows and null ids pass; other columns are never read, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,9 +35,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import column, table
+from .common import column, keyed, table
 
 MARK = "▁"
 KEPT_UNITS, LONG_UNIT, BATCH_CHARS = 1_000_000, 48, 700_000
@@ -359,8 +361,13 @@ class Pieces:
         self.start = np.cumsum(self.count) - self.count
 
     def decode(self, ids: np.ndarray) -> str:
+        """The text of the pieces' bytes, without the mark that encoding put first; bytes that are no text become U+FFFD."""
         raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "surrogatepass")[1:] if raw else ""
+        raw = raw[1:] if raw[:1] == b" " else raw
+        try:
+            return raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace")
 
 
 _LOADED: dict[str, Pieces] = {}
@@ -386,7 +393,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([column(b, "id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(fn, "doc_id long, ids array<int>")
+    return keyed(docs, id_col, text_col).mapInArrow(fn, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -416,7 +423,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["doc_id", "n_pieces", "ids_crc32", "decoded_sha256", "same"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(fn, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return keyed(docs, id_col, text_col).mapInArrow(fn, "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string, same boolean")
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

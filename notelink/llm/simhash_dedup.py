@@ -23,7 +23,8 @@ id joins its group but never names it; an empty table gives an empty result.
 :func:`keep_one`, the stage of the pipeline, takes documents whose sets of word shingles
 have a Jaccard similarity of 0.8 or more.  Such pairs differ in about ten bits of 64, more
 than partitions can search, so min-hash bands give its candidates (a pair at 0.8 is missed
-with odds of 3 in a million) and the sets themselves decide.  Other columns pass through.
+with odds of 3 in a million) and the sets themselves decide.  Other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, components, dealt, runs, sliced, table, value, written
+from .common import column, components, dealt, keyed, numbered, place, runs, sliced, table, value, written
 
 SEED, BITS, RADIUS, WORDS = 42, 64, 3, 3
 STAGE_WORDS, SIMILARITY = 5, 0.8
@@ -263,7 +264,7 @@ def near_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, one row for each document."""
-    fps = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(words), "id long, fp long"), "docfps")
+    fps = written(keyed(docs, id_col, text_col).mapInArrow(_fingerprints(words), "id long, fp long"), "docfps")
     first = fps.groupBy("fp").agg(F.min("id").alias("first"))
     of = first.join(near_fingerprints(fps, radius).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -366,10 +367,10 @@ def similar_rows(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row of each group at ``similarity`` or more stays: the smallest id (null last), then by its text; each row has its own key."""
-    docs = written(docs.withColumn("__nl_row", F.monotonically_increasing_id()), "keyed")
-    rows = docs.select(F.col("__nl_row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    first = similar_rows(rows, words, similarity).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "row"))["row"].alias("__nl_row"))
-    return docs.join(first.select("__nl_row"), "__nl_row", "left_semi").drop("__nl_row")
+    kept = written(numbered(docs).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    rows = kept.select("row", F.col(place(docs, id_col)).cast("long").alias("id"), F.col(place(docs, text_col)).cast("string").alias("text"))
+    first = similar_rows(rows, words, similarity).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "th", "row"))["row"].alias("row"))
+    return kept.join(first.select("row"), "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
