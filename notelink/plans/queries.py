@@ -359,3 +359,15 @@ QUERIES["rank_codes"] = rank_codes
 ORACLE["rank_codes"] = """WITH i AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents),
 n AS (SELECT item_id, count(*) AS need FROM i GROUP BY item_id), h AS (SELECT i.item_id, d.doc_id, count(*) AS got FROM i JOIN d USING (token) GROUP BY 1, 2), s AS (SELECT item_id, doc_id, got / need AS score, row_number() OVER (PARTITION BY item_id ORDER BY got / need DESC, doc_id) AS k FROM h JOIN n USING (item_id))
 SELECT a.item_id, CASE WHEN a.score >= 0.5 AND coalesce(a.score - b.score, 1.0) >= 0.035 THEN a.doc_id ELSE -1 END AS code, round(a.score, 6) AS top_score, round(coalesce(a.score - b.score, 1.0), 6) AS lead FROM s a LEFT JOIN s b ON a.item_id = b.item_id AND b.k = 2 WHERE a.k = 1"""
+
+
+def _register() -> None:
+    """The case queries of the other modules, beside those above."""
+    from . import linking_cases, note_cases
+
+    for m in (linking_cases, note_cases):
+        QUERIES.update(m.QUERIES)
+        ORACLE.update(m.ORACLE)
+
+
+_register()
