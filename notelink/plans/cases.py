@@ -38,5 +38,5 @@ def case_query(queries: dict, oracle: dict, name: str, table: str, key: str, inp
     queries[name] = query
     types = {"string": "VARCHAR", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
     values = ", ".join("(" + ", ".join([str(k), *map(literal, want)]) + ")" for k, (_, want) in enumerate(cases))
-    picked = ", ".join(f"CAST(c.{n} AS {types[t]}) AS {n}" for n, t in cols)
-    oracle[name] = f"WITH c(case_no, {', '.join(n for n, _ in cols)}) AS (VALUES {values}) SELECT CAST({key} AS BIGINT) AS key, {picked} FROM {table} JOIN c ON c.case_no = {key} % {len(cases)}"
+    picked = ", ".join(f'CAST(c."{n}" AS {types[t]}) AS "{n}"' for n, t in cols)
+    oracle[name] = "WITH c(case_no, " + ", ".join(f'"{n}"' for n, _ in cols) + f") AS (VALUES {values}) SELECT CAST({key} AS BIGINT) AS key, {picked} FROM {table} JOIN c ON c.case_no = {key} % {len(cases)}"

@@ -363,9 +363,9 @@ SELECT a.item_id, CASE WHEN a.score >= 0.5 AND coalesce(a.score - b.score, 1.0)
 
 def _register() -> None:
     """The case queries of the other modules, beside those above."""
-    from . import linking_cases, note_cases
+    from . import linking_cases, note_cases, span_cases
 
-    for m in (linking_cases, note_cases):
+    for m in (linking_cases, note_cases, span_cases):
         QUERIES.update(m.QUERIES)
         ORACLE.update(m.ORACLE)
 
