@@ -57,7 +57,7 @@ def better_border(raw: str, s: int, e: int) -> tuple[int, int]:
     return max(found, key=lambda x: x[1] - x[0]) if found else (s, e)
 
 
-@F.pandas_udf(T.StructType().add("start", "int").add("end", "int").add("text", "string"))
+@F.pandas_udf(T.StructType().add("start", "integer").add("end", "integer").add("text", "string"))
 def repaired_border(raw: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
     out = [better_border(r or "", int(s), int(e)) for r, s, e in zip(raw, start, end, strict=True)]
     return pd.DataFrame([{"start": s, "end": e, "text": (r or "")[s:e]} for (s, e), r in zip(out, raw, strict=True)], columns=["start", "end", "text"])
@@ -103,7 +103,7 @@ def overridden(entities: DataFrame, fixed: DataFrame) -> DataFrame:
 # -- regions --------------------------------------------------------------
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("line", "string")))
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("line", "string")))
 def text_lines(s: pd.Series) -> pd.Series:
     def one(t):
         out, at = [], 0

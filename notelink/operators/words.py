@@ -20,8 +20,8 @@ RESYNC = 128  # characters a word may be looked for beyond its place
 # Marks of tones; punctuation between letters that ends a word.
 TONES = {"̀", "́", "̃", "̉", "̣"}
 STUCK = re.compile(r"(?<=[^\W\d_])[.!?](?=[^\W\d_])|(?<=\S)[:;](?=\S)|(?<=\S),(?=[^\s\d])|(?<=[^\d\s]),(?=\S)")
-PLACES = T.ArrayType(T.StructType().add("start", "int").add("end", "int"))
-WORDS = T.ArrayType(T.StructType().add("text", "string").add("start", "int").add("end", "int"))
+PLACES = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))
+WORDS = T.ArrayType(T.StructType().add("text", "string").add("start", "integer").add("end", "integer"))
 
 
 def without_tones(s: str) -> str:
