@@ -28,13 +28,16 @@ def components_or_union(mentions: DataFrame, index: DataFrame, mention: str, par
 
 
 def evidence(rows: DataFrame, mention: str, code: str, term: str, score: str) -> DataFrame:
-    """Scores of each code: the best, the mean of the best three, distinct terms, and their bounded sum."""
-    top = F.slice(F.sort_array(F.collect_list(score), False), 1, 3)
-    g = rows.groupBy(mention, code).agg(F.max(score).alias("best"), top.alias("top"), F.count_distinct(term).alias("terms"), F.min_by(term, F.struct(-F.col(score), term)).alias("best_term"))
-    mean = F.aggregate("top", F.lit(0.0), lambda a, x: a + x) / F.size("top")
-    g = g.withColumn("mean_top", mean)
+    """Scores of each code: the best, the mean of the best three, distinct terms, and their bounded sum.
+
+    The best three come from a window limited to them before the shuffle; nothing else is kept of a code's rows.
+    """
+    by = [mention, code]
+    top = ranked(rows, by, [F.col(score).desc(), F.col(term)], 3)
+    best = top.groupBy(*by).agg(F.max(score).alias("best"), F.avg(score).alias("mean_top"), F.min_by(term, "rank").alias("best_term"))
+    g = rows.groupBy(*by).agg(F.count_distinct(term).alias("terms")).join(best, by)
     bonus = F.least(F.lit(0.06), F.lit(0.02) * (F.col("terms") - 1))
-    return g.withColumn("aggregate_score", F.least(F.lit(1.0), F.lit(0.75) * F.col("best") + F.lit(0.25) * F.col("mean_top") + bonus)).drop("top")
+    return g.withColumn("aggregate_score", F.least(F.lit(1.0), F.lit(0.75) * F.col("best") + F.lit(0.25) * F.col("mean_top") + bonus))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int) -> DataFrame:
@@ -43,9 +46,11 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: i
 
 
 def margin(df: DataFrame, keys: Sequence[str], code: str, score: str) -> DataFrame:
-    """Best code, its score, and its lead over the second; no lead for a single candidate.  Two aggregates at most a key."""
-    g = df.groupBy(*keys).agg(F.max_by(code, F.struct(score, F.lit(0))).alias("top_code"), F.slice(F.sort_array(F.collect_list(score), False), 1, 2).alias("s"))
-    return g.select(*keys, "top_code", F.col("s")[0].alias("top_score"), F.when(F.size("s") > 1, F.col("s")[0] - F.get("s", F.lit(1))).alias("lead"))
+    """Best code (the smaller of equals), its score, and its lead over the second; no lead for a single candidate."""
+    top = ranked(df.select(*keys, F.col(code).alias("_code"), F.col(score).alias("_score")), keys, [F.col("_score").desc(), F.col("_code")], 2)
+    first = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(c)))
+    g = top.groupBy(*keys).agg(first("_code", 1).alias("top_code"), first("_score", 1).alias("top_score"), first("_score", 2).alias("_second"))
+    return g.withColumn("lead", F.col("top_score") - F.col("_second")).drop("_second")
 
 
 def unit(v: Column) -> Column:
@@ -101,11 +106,29 @@ def weighted_jaccard(df: DataFrame, gold: str, pred: str) -> DataFrame:
 
 
 def quota(df: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Largest-remainder shares of ``total``; ties by key."""
-    w = df.crossJoin(df.agg(F.sum(weight).alias("all"))).withColumn("exact", F.col(weight) * F.lit(total) / F.col("all")).withColumn("base", F.floor("exact").cast("long"))
-    left = w.crossJoin(w.agg((F.lit(total) - F.sum("base")).alias("left")).hint("broadcast"))
-    turn = F.row_number().over(W.orderBy((F.col("exact") - F.col("base")).desc(), key))
-    return left.withColumn("n", F.col("base") + (turn <= F.col("left")).cast("long")).select(key, "n")
+    """Largest-remainder shares of ``total``; ties by key.
+
+    The rows are groups (one a key), already aggregated: the sums are one small row, and
+    the order among the remainders is a count of those before, by an aggregate over arrays.
+    """
+    all_ = F.broadcast(df.agg(F.sum(weight).alias("_all"), F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(weight).alias("w")))).alias("_rows")))
+    d = df.join(all_)
+    part = lambda r: F.struct((-(r["w"] * F.lit(total) / F.col("_all") - F.floor(r["w"] * F.lit(total) / F.col("_all")))).alias("f"), r["k"].alias("k"))
+    d = d.withColumn("_order", F.array_sort(F.transform("_rows", part)))
+    base = F.floor(F.col(weight) * F.lit(total) / F.col("_all")).cast("long")
+    left = F.lit(total) - F.aggregate("_rows", F.lit(0).cast("long"), lambda a, r: a + F.floor(r["w"] * F.lit(total) / F.col("_all")).cast("long"))
+    turn = F.array_position(F.transform("_order", lambda o: o["k"]), F.col(key))
+    return d.select(key, (base + (turn <= left).cast("long")).alias("n"))
+
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, rank: float) -> DataFrame:
+    """Nearest-rank percentile, interpolated percentile and median of each key."""
+    return df.groupBy(*keys).agg(F.expr(f"percentile_disc({rank}) WITHIN GROUP (ORDER BY {value})").alias("nearest_rank"), F.percentile(value, rank).alias("interpolated"), F.percentile(value, 0.5).alias("median"))
+
+
+def first_copies(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Distinct keys in their first row's place, with the number of copies; a partial aggregate."""
+    return df.groupBy(*keys).agg(F.min(order).alias(order), F.count("*").alias("copies"))
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
