@@ -96,7 +96,7 @@ def negation(raw: Column, start: Column, end: Column, text: Column, kind: Column
     rest = F.regexp_replace(segment, rf"(?iU)^(?:{CUE})\b", "")
     n = lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != ""))
     joined = segment.rlike(r"(?iU),|/|\b(?:và|hoặc|hay)\b")
-    drug_stop = rf"(?:(?:không|chưa)\s+(?:{TAKING})|(?:đã\s+)?ngừng\s*(?:{TAKING})?)(?:\s+(?:bất\s+kỳ|thuốc|loại\s+thuốc))?"
+    drug_stop = rf"(?:(?:không|chưa)\s+(?:{TAKING})|(?:đã\s+)?ngừng\s+(?:{TAKING})?)(?:\s+(?:bất\s+kỳ|thuốc|loại\s+thuốc))?"
     return (
         F.when(t.rlike(_at_start(rf"không\s+(?:{DEFICIT})|không\s+(?:nhìn|nghe)\s+thấy|không\s+thấy\s+gì")), "blocked")
         .when(inside & ~own.rlike(_at_start(r"không|chưa|phủ\s+nhận")), "submention")

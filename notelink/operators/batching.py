@@ -44,11 +44,12 @@ def pack_prompts(prompts: DataFrame, key: str, length: str, batch_size: int = 12
     return d.mapInPandas(pack, f"`{key}` {d.schema[key].dataType.simpleString()}, `{length}` {d.schema[length].dataType.simpleString()}, batch string")
 
 
-def answer(requests: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str]], valid: str = "answer IS NOT NULL", rows: int = 12) -> tuple[DataFrame, DataFrame]:
+def answer(requests: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str]], path: str, valid: str = "answer IS NOT NULL", rows: int = 12) -> tuple[DataFrame, DataFrame]:
     """``(answers, fresh)`` for requests ``(request_id, prompt)`` and a cache ``(request_id, answer)``.
 
     Only requests without a valid cached answer reach the model, each distinct one once;
-    ``fresh`` holds the new valid answers, to be appended to the cache.
+    ``fresh`` holds the new valid answers, to be appended to the cache.  They are written
+    to ``path`` first, so that using both tables does not ask the model twice.
     """
     known = cache.where(valid).groupBy("request_id").agg(F.max("answer").alias("answer"))
     pending = requests.select("request_id", "prompt").dropDuplicates(["request_id"]).join(known, "request_id", "left_anti")
@@ -59,5 +60,7 @@ def answer(requests: DataFrame, cache: DataFrame, model: Callable[[list[str]], l
                 part = f.iloc[lo : lo + rows]
                 yield pd.DataFrame({"request_id": part["request_id"], "answer": model(part["prompt"].tolist())})
 
-    fresh = pending.mapInPandas(ask, f"request_id {requests.schema['request_id'].dataType.simpleString()}, answer string").where(valid)
+    schema = f"request_id {requests.schema['request_id'].dataType.simpleString()}, answer string"
+    pending.mapInPandas(ask, schema).where(valid).write.mode("overwrite").parquet(path)
+    fresh = requests.sparkSession.read.schema(schema).parquet(path)
     return requests.select("request_id").join(known.unionByName(fresh), "request_id", "left"), fresh

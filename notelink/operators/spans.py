@@ -53,8 +53,8 @@ def schedule(df: DataFrame, key: str, more_spans: bool = True) -> DataFrame:
 
     Ties go to more spans, or with ``more_spans`` off to fewer, then to the earlier set.
     Columns ``start, end, score`` are read; rows come back whole.  Spans that no chain
-    of overlaps joins never bear on each other, so a long record is cut into pieces of
-    1024 such stretches and never held whole.
+    of overlaps joins never bear on each other, so a record is cut into pieces of 1024
+    such stretches; only one unbroken chain of overlaps is held whole.
     """
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["end", "start", "score"], ascending=[True, True, False], kind="stable").reset_index(drop=True)
@@ -107,5 +107,5 @@ def bio_runs(tagged: DataFrame, key: str) -> DataFrame:
 
 def occurrences(text: Column, needle: Column) -> Column:
     """0-based starts of all non-overlapping occurrences."""
-    parts = F.split(text, F.concat(F.lit("\\Q"), needle, F.lit("\\E")), -1)
+    parts = F.split(text, F.regexp_replace(needle, r"[^\p{L}\p{N}\s]", r"\\$0"), -1)
     return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * F.length(needle))

@@ -106,6 +106,8 @@ EVIDENCE = [
     (("", "hen", DIS, "family_history", []), ("absent", True, "isHistorical|isFamily")),
     (("", "hen", DIS, "historical", []), ("absent", False, "isHistorical")),
     (("không sốt. Có ", "ho", SYM, "current", [an.NEGATED]), ("absent", False, "")),
+    (("Ngừng uống ", "aspirin", DRUG, "unknown", []), ("direct", False, "isNegated")),
+    (("Bệnh nhân đã ngừng ", "aspirin", DRUG, "unknown", []), ("absent", False, "isHistorical")),
 ]
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import batching as ba
 from ..operators import generation as ge
 from ..operators import repairs as rp
+from ..operators import spans as sp
 from ..operators.assertions import DISEASE, DRUG, HISTORICAL, NEGATED, RESULT, SYMPTOM, TEST
 from ..sources import records as sr
 from .cases import case_query
@@ -235,3 +237,24 @@ def retry_rounds(spark, sf):
     """L5, L6, 2.15 translation loop: only what failed goes into the next round, three at most."""
     d = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), (F.col("s_suppkey") % 4).cast("int").alias("value"))
     return ge.retried(d, lambda x, k: x.withColumn("ok", F.col("value") <= k), "ok").select("key", "value", "round")
+
+
+@q("SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 2 = 0 THEN 'cached' WHEN s_suppkey % 7 <> 0 THEN upper(s_name) END AS answer, (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 7 <> 0) AS fresh FROM supplier")
+def cached_answers(spark, sf):
+    """Only requests without a valid cached answer reach the model; unsound answers are not kept."""
+    d = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("request_id"), F.when(F.col("s_suppkey") % 7 == 0, "bad").otherwise(F.col("s_name")).alias("prompt"))
+    cache = d.select("request_id", F.when(F.col("request_id") % 2 == 0, "cached").alias("answer"))
+    all_, fresh = ba.answer(d.unionByName(d).select("request_id", "prompt").distinct(), cache, lambda ps: [None if p == "bad" else p.upper() for p in ps], scratch(spark, "answers"))
+    return all_.withColumn("fresh", F.lit(fresh.count()).cast("long"))
+
+
+@q("SELECT count(*) AS prompts, true AS rows_ok, true AS tokens_ok FROM documents")
+def packed_prompts(spark, sf):
+    """Batches of like length within rows and padded tokens."""
+    d = read(spark, sf, "documents").select("doc_id", F.least(F.length(F.coalesce("text", F.lit(""))), F.lit(1400)).alias("n"))
+    b = ba.pack_prompts(d, "doc_id", "n").groupBy("batch").agg(F.count("*").alias("rows"), F.max("n").alias("widest"))
+    return b.agg(F.sum("rows").alias("prompts"), (F.max("rows") <= 12).alias("rows_ok"), F.bool_and((F.col("rows") == 1) | (F.col("rows") * F.col("widest") <= 16384)).alias("tokens_ok"))
+
+
+PLACES = [(("a\\Eb a\\Eb", "\\E"), ("1,6",)), (("x.y.z", "."), ("1,3",)), (("ho ho ho", "ho"), ("0,3,6",)), (("ho", "sốt"), ("",)), (("(a)(a)", "(a)"), ("0,3",))]
+case_query(QUERIES, ORACLE, "occurrences", "part", "p_partkey", "text string, needle string", "out string", PLACES, lambda d: d.select("key", F.array_join(F.filter(sp.occurrences(F.col("text"), F.col("needle")), lambda x: F.instr("text", F.col("needle")) > 0).cast("array<string>"), ",").alias("out")), "W3")

@@ -189,10 +189,10 @@ def test_prompt_batches(spark):
         assert len(ns) <= 12 and (len(ns) == 1 or (max(ns) + 100) * len(ns) <= 8192)
 
 
-def test_cached_answers(spark):
+def test_cached_answers(spark, tmp_path):
     r = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "y"), ("c", "bad")], "request_id string, prompt string")
     c = spark.createDataFrame([("a", "old"), ("b", None)], "request_id string, answer string")
-    out, fresh = ba.answer(r, c, lambda xs: [None if x == "bad" else x.upper() for x in xs])
+    out, fresh = ba.answer(r, c, lambda xs: [None if x == "bad" else x.upper() for x in xs], str(tmp_path / "fresh"))
     assert sorted((x.request_id, x.answer or "") for x in out.collect()) == [("a", "old"), ("b", "Y"), ("b", "Y"), ("c", "")]
     assert [x.request_id for x in fresh.collect()] == ["b"]
 
