@@ -32,6 +32,11 @@ NOT_MERGED = r"(?iu)^nhịp\s+xoang\b"
 ALLERGY = r"(?iU)^(?:dị ứng|quá mẫn)\s+(?:thuốc|dược phẩm)\b"
 ENZYME_DISEASE = r"(?iu)^(?:bệnh\s+)?thiếu\s+men\s*G6PD$"
 
+# Words for the direction of a value, marks of the past before a disease, and relatives.
+DIRECTION = "tăng|giảm|cao|thấp"
+PAST_MARK = r"(?iu)(?:tiền sử|tiền căn|trước đây|trước đó|đã từng|từng bị)\s*[:\-]?\s*$"
+KIN = "bố|mẹ|ba|cha|anh|chị|em|ông|bà|cô|chú|bác|con|gia đình|người thân|họ hàng"
+
 Rule = Callable[[Column, Column, Column], Column]
 
 
@@ -60,6 +65,84 @@ def strip_lab_assertions(es: Column, text: Column, section: Column) -> Column:
     return _set(es, lambda e: e["type"].isin(TEST, RESULT), lambda e: entity(e["text"], e["type"], _none()))
 
 
+def _nth(text: Column, needle: Column, n: Column) -> Column:
+    """0-based place of the n-th (from 0) occurrence in any case, or null."""
+    parts = F.split(F.lower(text), F.regexp_replace(F.lower(needle), r"[^\p{L}\p{N}\s]", r"\\$0"), -1)
+    at = F.aggregate(F.slice(parts, F.lit(1), n + 1), F.lit(0), lambda a, p: a + F.length(p)) + n * F.length(needle)
+    return F.when(n + 1 < F.size(parts), at)
+
+
+def real_case(es: Column, text: Column, section: Column) -> Column:
+    """The n-th entity of a wording takes the letters of the wording's n-th place in the text."""
+    def one(e: Column, i: Column) -> Column:
+        n = F.size(F.filter(F.slice(es, F.lit(1), i), lambda o: F.lower(o["text"]) == F.lower(e["text"])))
+        at = _nth(text, e["text"], n)
+        return F.when(at.isNotNull(), entity(F.substring(text, at + 1, F.length(e["text"])), e["type"], e["assertions"])).otherwise(e)
+
+    return F.transform(es, one)
+
+
+def split_drugs(es: Column, text: Column, section: Column) -> Column:
+    """Two drugs written with a slash between blanks become two, if the text has each."""
+    def parts(e: Column) -> Column:
+        names = F.filter(F.transform(F.split(e["text"], r"\s+/\s+"), lambda x: F.trim(x)), lambda x: x != "")
+        return F.when((e["type"] == DRUG) & (F.size(names) >= 2) & F.forall(names, lambda x: F.contains(text, x)), F.transform(names, lambda x: entity(x, e["type"], e["assertions"]))).otherwise(F.array(e))
+
+    return F.flatten(F.transform(es, parts))
+
+
+def bare_result(es: Column, text: Column, section: Column) -> Column:
+    """A result is its value and unit, without the word for its direction before."""
+    value = rf"(?iu)^(?:{DIRECTION})(?:\s+\p{{L}}+){{0,2}}\s+([<>≤≥]?\s*\d+(?:[.,]\d+)?(?:\s*[\p{{L}}%µ]+(?:/\p{{L}}+)?)?)$"
+    return _retext(es, [RESULT], lambda t: F.when(F.trim(t).rlike(value), F.trim(F.regexp_extract(F.trim(t), value, 1))).otherwise(t))
+
+
+def whole_fever(es: Column, text: Column, section: Column) -> Column:
+    """A fever takes the temperature that follows it: with a unit, or a number from 37.0 to 43.5."""
+    degrees = r"(?iu)^((?:\s+(?:cao|nhẹ|vừa|đến|tới|lên đến|lên tới))?\s+(\d+(?:[.,]\d+)?)(\s*(?:°\s*[cf]|độ(?:\s*[cf])?))?).*"
+
+    def one(e: Column) -> Column:
+        at = F.position(F.lower(e["text"]), F.lower(text))
+        tail = F.regexp_replace(F.substring(text, at + F.length(e["text"]), F.lit(40)), r"[\r\n].*", "")
+        number = F.replace(F.regexp_extract(tail, degrees, 2), F.lit(","), F.lit(".")).try_cast("double")
+        sound = (at > 0) & tail.rlike(degrees) & ((F.regexp_extract(tail, degrees, 3) != "") | number.between(37.0, 43.5))
+        return F.when((e["type"] == SYMPTOM) & F.lower(F.trim(e["text"])).startswith("sốt") & F.coalesce(sound, F.lit(False)), entity(F.concat(F.substring(text, at, F.length(e["text"])), F.regexp_extract(tail, degrees, 1)), e["type"], e["assertions"])).otherwise(e)
+
+    return F.transform(es, one)
+
+
+def marked_history(es: Column, text: Column, section: Column, window: int = 80) -> Column:
+    """A disease right after a mark of the past is historical, unless that past is denied."""
+    def past(e: Column) -> Column:
+        at = F.position(e["text"], text)
+        first = F.greatest(at - window, F.lit(1))
+        before = F.substring(text, first, at - first)
+        return (at > 0) & (e["type"] == DISEASE) & ~F.array_contains(e["assertions"], HISTORICAL) & before.rlike(PAST_MARK) & ~before.rlike(NO_HISTORY)
+
+    return _set(es, past, lambda e: entity(e["text"], e["type"], F.array_sort(F.array_union(e["assertions"], F.array(F.lit(HISTORICAL))))))
+
+
+def whole_palsy(es: Column, text: Column, section: Column) -> Column:
+    """The two halves of one disease's name give way to the whole, once for each place of it."""
+    found = F.regexp_extract_all(text, F.lit(r"(?iU)\b(bại\s+não)\b"), F.lit(1))
+    rest = F.filter(es, lambda e: ~F.lower(F.trim(e["text"])).isin("bại", "não"))
+    have = F.size(F.filter(rest, lambda e: F.lower(F.trim(e["text"])) == "bại não"))
+    new = F.transform(F.slice(found, have + 1, F.greatest(F.size(found) - have, F.lit(0))), lambda t: entity(t, F.lit(DISEASE), _none()))
+    return F.when(F.size(found) > 0, F.concat(rest, new)).otherwise(es)
+
+
+def real_family(es: Column, text: Column, section: Column, window: int = 80) -> Column:
+    """Family stays only where the sentence around the span names a relative."""
+    def strange(e: Column) -> Column:
+        at = F.position(e["text"], text)
+        first = F.greatest(at - window, F.lit(1))
+        left = F.regexp_replace(F.substring(text, first, at - first), r"(?s)^.*[.\n]", "")
+        right = F.regexp_replace(F.substring(text, at + F.length(e["text"]), F.lit(window)), r"(?s)[.\n].*$", "")
+        return (at > 0) & F.array_contains(e["assertions"], FAMILY) & ~F.concat_ws(" ", left, right).rlike(rf"(?iU)\b(?:{KIN})\b")
+
+    return _set(es, strange, lambda e: entity(e["text"], e["type"], F.array_remove(e["assertions"], FAMILY)))
+
+
 def strip_code(es: Column, text: Column, section: Column) -> Column:
     return _retext(es, [DISEASE], lambda t: F.trim(F.regexp_replace(t, CODE_SUFFIX, "")))
 
@@ -146,8 +229,8 @@ def spans_in_text(es: Column, text: Column, section: Column) -> Column:
 
 
 RULES: list[Rule] = [
-    strip_lab_assertions, strip_code, negation_leak, trim_connector, negation_scope, split_lab, allergy_is_diagnosis, enzyme_disease,
-    diagnosis_context, negated_history, history_section, one_of_past_and_negated, excess_duplicates, spans_in_text,
+    strip_lab_assertions, real_case, split_drugs, strip_code, negation_leak, trim_connector, negation_scope, bare_result, split_lab, allergy_is_diagnosis, enzyme_disease,
+    diagnosis_context, whole_fever, negated_history, marked_history, whole_palsy, history_section, real_family, one_of_past_and_negated, excess_duplicates, spans_in_text,
 ]
 
 

@@ -9,7 +9,7 @@ from ..operators import batching as ba
 from ..operators import generation as ge
 from ..operators import repairs as rp
 from ..operators import spans as sp
-from ..operators.assertions import DISEASE, DRUG, HISTORICAL, NEGATED, RESULT, SYMPTOM, TEST
+from ..operators.assertions import DISEASE, DRUG, FAMILY, HISTORICAL, NEGATED, RESULT, SYMPTOM, TEST
 from ..sources import records as sr
 from .cases import case_query
 from .note_cases import scratch
@@ -28,11 +28,21 @@ REPAIRED = [
     (("WBC: 12; CRP: 5", [("WBC: 12; CRP: 5", RESULT, [])], None), (f"WBC/{TEST}/|12/{RESULT}/|CRP/{TEST}/|5/{RESULT}/", "split_lab", None)),
     (("dị ứng thuốc", [("dị ứng thuốc", SYMPTOM, [])], None), (f"dị ứng thuốc/{DISEASE}/", "allergy_is_diagnosis", None)),
     (("thiếu men G6PD", [("thiếu men G6PD", RESULT, [])], None), (f"thiếu men G6PD/{DISEASE}/", "enzyme_disease", None)),
-    (("tiền sử hen", [("tiền sử hen", DISEASE, [])], None), (f"hen/{DISEASE}/", "diagnosis_context", None)),
+    (("tiền sử hen", [("tiền sử hen", DISEASE, [])], None), (f"hen/{DISEASE}/{HISTORICAL}", "diagnosis_context,marked_history", None)),
     (("không có tiền sử hen", [("hen", DISEASE, [HISTORICAL])], None), (f"hen/{DISEASE}/{NEGATED}", "negation_scope,negated_history", None)),
     (("hen. aspirin", [("hen", DISEASE, []), ("aspirin", DRUG, [])], "tien_su"), (f"hen/{DISEASE}/{HISTORICAL}|aspirin/{DRUG}/{HISTORICAL}", "history_section", None)),
     (("có hen", [("hen", DISEASE, [HISTORICAL, NEGATED])], None), (f"hen/{DISEASE}/{NEGATED}", "one_of_past_and_negated", None)),
     (("ho và ho", [("ho", SYMPTOM, []), ("ho", SYMPTOM, []), ("ho", SYMPTOM, [])], None), (f"ho/{SYMPTOM}/|ho/{SYMPTOM}/", "excess_duplicates", None)),
+    (("Kali thấp, kali cao", [("kali", TEST, []), ("kali", TEST, [])], None), (f"Kali/{TEST}/|kali/{TEST}/", "real_case", None)),
+    (("aspirin / clopidogrel", [("aspirin / clopidogrel", DRUG, [])], None), (f"aspirin/{DRUG}/|clopidogrel/{DRUG}/", "split_drugs", None)),
+    (("CRP tăng cao 64 mg/L", [("tăng cao 64 mg/L", RESULT, [])], None), (f"64 mg/L/{RESULT}/", "bare_result", None)),
+    (("sốt cao 39°C hôm nay", [("sốt", SYMPTOM, [])], None), (f"sốt cao 39°C/{SYMPTOM}/", "whole_fever", None)),
+    (("sốt 37.8 và sốt", [("sốt", SYMPTOM, [])], None), (f"sốt 37.8/{SYMPTOM}/", "whole_fever", None)),
+    (("sốt 3 ngày", [("sốt", SYMPTOM, [])], None), (f"sốt/{SYMPTOM}/", "", None)),
+    (("tiền căn hen", [("hen", DISEASE, [])], None), (f"hen/{DISEASE}/{HISTORICAL}", "marked_history", None)),
+    (("trẻ Bại não", [("Bại", DISEASE, []), ("não", DISEASE, [])], None), (f"Bại não/{DISEASE}/", "whole_palsy", None)),
+    (("mẹ bị hen", [("hen", DISEASE, [FAMILY])], None), (f"hen/{DISEASE}/{FAMILY}", "", None)),
+    (("mẹ khỏe. bị hen", [("hen", DISEASE, [FAMILY])], None), (f"hen/{DISEASE}/", "real_family", None)),
     (("sốt", [("ho", SYMPTOM, [])], None), ("", "spans_in_text", None)),
     (("sốt", [("sốt", SYMPTOM, [])], None), (f"sốt/{SYMPTOM}/", "", None)),
     (("sốt", [("sốt", "KHÁC", [])], None), ("sốt/KHÁC/", "", "unknown_type")),
@@ -49,7 +59,7 @@ def _repaired(d: DataFrame) -> DataFrame:
     return r.select("key", F.array_join(shown, "|").alias("entities"), F.array_join("log", ",").alias("log"), "reason")
 
 
-case_query(QUERIES, ORACLE, "repaired_records", "part", "p_partkey", "input_text string, entities array<struct<text:string,type:string,assertions:array<string>>>, section string", "entities string, log string, reason string", REPAIRED, _repaired, "rules 1, 7, 10, 11, 12, 15, 23, 24, 25, 35, 39, 41, 43; P14, A27, W4, part of P13")
+case_query(QUERIES, ORACLE, "repaired_records", "part", "p_partkey", "input_text string, entities array<struct<text:string,type:string,assertions:array<string>>>, section string", "entities string, log string, reason string", REPAIRED, _repaired, "rules 1, 2, 6, 7, 10, 11, 12, 13, 15, 23, 24, 25, 31, 35, 36, 38, 39, 40, 41, 43; P14, A27, W4, part of P13")
 
 
 # -- files ----------------------------------------------------------------
