@@ -107,7 +107,7 @@ class Lexicon:
         for i in learn:
             for k in {k for u in set(self.docs[i].tolist()) for k in own[u]}:
                 met[k] = met.get(k, 0) + 1
-        self.index = {k: n + 1 for n, k in enumerate(k for k, n in met.items() if n >= LEAST_DOCS)}
+        self.index = {k: n + 1 for n, k in enumerate(sorted(k for k, n in met.items() if n >= LEAST_DOCS))}
         self.word = np.array([self.index.get(p[0], 0) if p else 0 for p in own])
         grams = [[self.index.get(k, 0) for k in p[1:]] for p in own]
         self.size = np.array([len(g) for g in grams])
