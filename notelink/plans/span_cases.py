@@ -26,7 +26,9 @@ def listed(df: DataFrame, keys: DataFrame, order: list, text, name: str = "out",
     return keys.select("key").join(g, "key", "left").select("key", F.coalesce(name, F.lit("")).alias(name))
 
 
-span_text = F.concat_ws("-", "start", "end")
+def span_text() -> F.Column:
+    return F.concat_ws("-", "start", "end")
+
 
 CHUNKS = [(([1, 1, 1, 1, 1, 1],), ("0-4|2-6",)), (([3, 3, 9, 1],), ("0-1|1-2|2-3|3-4",)), (([],), ("",)), (([0, 2, 2],), ("0-2|1-3",))]
 case_query(QUERIES, ORACLE, "word_chunks", "part", "p_partkey", "sizes array<int>", "out string", CHUNKS, lambda d: d.select("key", F.array_join(F.transform(ch.word_chunks(F.col("sizes"), 6, 2), lambda c: F.concat_ws("-", c["start"], c["end"])), "|").alias("out")), "W14")
@@ -96,8 +98,8 @@ RESCUE = [
 def _rescue(d: DataFrame) -> DataFrame:
     e = rows_of(d, "e").withColumns({"type": F.lit("E"), "score": F.lit(1.0)})
     s = ch.best_spans(rows_of(d, "s"))
-    r = listed(ch.rescued(e, s), d, [F.col("start")], F.concat(span_text, F.when(F.col("rescued"), "*").otherwise("")))
-    return r.join(listed(s, d, [F.col("start")], F.concat(span_text, F.format_string(" %.2f", "score")), "spans"), "key")
+    r = listed(ch.rescued(e, s), d, [F.col("start")], F.concat(span_text(), F.when(F.col("rescued"), "*").otherwise("")))
+    return r.join(listed(s, d, [F.col("start")], F.concat(span_text(), F.format_string(" %.2f", "score")), "spans"), "key")
 
 
 case_query(QUERIES, ORACLE, "lattice_rescue", "part", "p_partkey", "e array<struct<start:int,end:int>>, s array<struct<start:int,end:int,type:string,score:double>>", "out string, spans string", RESCUE, _rescue, "W13, A17")
@@ -111,7 +113,7 @@ MERGED = [
 
 def _merged(d: DataFrame) -> DataFrame:
     m = ch.merged_chunks(rows_of(d, "e").withColumn("score", ch.score_of(F.col("score"))))
-    return listed(m, d, [F.col("start"), F.col("end"), F.col("type")], F.concat(span_text, F.lit(" "), F.col("type"), F.lit(" "), F.col("score").cast("string"), F.lit(" "), F.array_join("assertions", ","), F.lit(" "), F.when(F.col("flag").isNotNull(), "!").otherwise("")))
+    return listed(m, d, [F.col("start"), F.col("end"), F.col("type")], F.concat(span_text(), F.lit(" "), F.col("type"), F.lit(" "), F.col("score").cast("string"), F.lit(" "), F.array_join("assertions", ","), F.lit(" "), F.when(F.col("flag").isNotNull(), "!").otherwise("")))
 
 
 case_query(QUERIES, ORACLE, "merged_chunks", "part", "p_partkey", "e array<struct<chunk:int,start:int,end:int,type:string,score:string,assertions:array<string>>>", "out string", MERGED, _merged, "X27, A14, M37")
@@ -168,7 +170,7 @@ ONE = [(([(0, 4, "A", 0.9, [NEGATED]), (0, 4, "A", 0.9, [FAMILY, HISTORICAL]), (
 
 def _one(d: DataFrame) -> DataFrame:
     e = rows_of(d, "e")
-    a, b = (listed(rv.one_per_span(e, u), d, [F.col("start"), F.col("type")], F.concat(span_text, F.lit(" "), F.array_join("assertions", ",")), n) for u, n in ((False, "best"), (True, "both")))
+    a, b = (listed(rv.one_per_span(e, u), d, [F.col("start"), F.col("type")], F.concat(span_text(), F.lit(" "), F.array_join("assertions", ",")), n) for u, n in ((False, "best"), (True, "both")))
     return a.join(b, "key")
 
 
@@ -181,7 +183,7 @@ def _within(d: DataFrame) -> DataFrame:
     e = rows_of(d, "e")
     out = d.select("key")
     for n, df in (("same", rv.contained(e)), ("any", rv.contained(e, False)), ("rest", rv.without_nested(e, "A"))):
-        out = out.join(listed(df, d, [F.col("start"), F.col("end"), F.col("type")], F.concat(span_text, F.lit(" "), F.col("type")), n), "key")
+        out = out.join(listed(df, d, [F.col("start"), F.col("end"), F.col("type")], F.concat(span_text(), F.lit(" "), F.col("type")), n), "key")
     return out
 
 
@@ -191,7 +193,7 @@ OVER = [(([(0, 5, "A"), (5, 9, "A"), (20, 30, "B")], [(3, 5, "D"), (28, 40, "D")
 
 
 def _over(d: DataFrame) -> DataFrame:
-    return listed(rv.overridden(rows_of(d, "e"), rows_of(d, "f")), d, [F.col("start")], F.concat(span_text, F.lit(" "), F.col("type")))
+    return listed(rv.overridden(rows_of(d, "e"), rows_of(d, "f")), d, [F.col("start")], F.concat(span_text(), F.lit(" "), F.col("type")))
 
 
 case_query(QUERIES, ORACLE, "overridden_spans", "part", "p_partkey", "e array<struct<start:int,end:int,type:string>>, f array<struct<start:int,end:int,type:string>>", "out string", OVER, _over, "X18, J18")
@@ -211,7 +213,7 @@ REGIONS[5] = ((" ".join(f"w{i}" for i in range(80)), []), ("0-309 long_medical_g
 def _regions(d: DataFrame) -> DataFrame:
     notes = d.select(F.col("key").alias("record_id"), "raw")
     hits = rv.suspicions(notes, rows_of(d, "e"))
-    a = listed(hits, d, [F.col("start"), F.col("end")], F.concat(span_text, F.lit(" "), F.col("reason")), "hits")
+    a = listed(hits, d, [F.col("start"), F.col("end")], F.concat(span_text(), F.lit(" "), F.col("reason")), "hits")
     w = rv.review_windows(notes, hits)
     return a.join(listed(w, d, [F.col("region")], F.concat(F.concat_ws("-", "left", "right"), F.lit(" "), F.array_join("reasons", ","), F.format_string(" %.1f", "priority")), "windows"), "key")
 
@@ -226,7 +228,7 @@ CATALOG = [
 
 def _catalog(d: DataFrame) -> DataFrame:
     c = rv.catalog(rows_of(d, "e"))
-    t = F.concat_ws(" ", span_text, "type", F.array_join("sources", ","), F.format_string("%.2f", F.array_max(F.map_values("scores"))), F.array_join("flags", ","), F.array_join("relations", ","), F.size("related").cast("string"))
+    t = F.concat_ws(" ", span_text(), "type", F.array_join("sources", ","), F.format_string("%.2f", F.array_max(F.map_values("scores"))), F.array_join("flags", ","), F.array_join("relations", ","), F.size("related").cast("string"))
     return listed(c, d, [F.col("start"), F.col("end"), F.col("type")], t)
 
 
@@ -239,7 +241,7 @@ PROPOSED = [
 
 def _proposed(d: DataFrame) -> DataFrame:
     c = rows_of(d, "e").withColumn("scores", F.create_map(F.lit("crf"), F.col("score")))
-    return listed(rv.proposals(d.select(F.col("key").alias("record_id"), "raw"), c), d, [F.col("start")], F.concat(span_text, F.lit(" "), F.col("text")))
+    return listed(rv.proposals(d.select(F.col("key").alias("record_id"), "raw"), c), d, [F.col("start")], F.concat(span_text(), F.lit(" "), F.col("text")))
 
 
 case_query(QUERIES, ORACLE, "missing_proposals", "part", "p_partkey", "raw string, e array<struct<start:int,end:int,text:string,type:string,score:double>>", "out string", PROPOSED, _proposed, "X23, F24, proposals by length")
@@ -251,7 +253,7 @@ ACTIONS = [(([(50, ["a"]), (100, ["b", "a"]), (50, ["c"])],), ("1|2",)), (([(1,
 case_query(QUERIES, ORACLE, "packed_actions", "part", "p_partkey", "a array<struct<priority:int,ids:array<string>>>", "out string", ACTIONS, lambda d: d.select("key", F.array_join(F.transform(rv.packed_actions(F.col("a")), lambda i: i.cast("string")), "|").alias("out")), "W12")
 
 LOGS = [(([(0, 5, "A"), (3, 8, "A"), (4, 6, "B"), (20, 22, "A")], [(0, 5, "A"), (20, 22, "A")]), ("3-8 same_type_overlap|4-6 cross_type_overlap",)), (([(0, 5, "A")], [(0, 5, "A")]), ("",))]
-case_query(QUERIES, ORACLE, "merge_logs", "part", "p_partkey", "b array<struct<start:int,end:int,type:string>>, k array<struct<start:int,end:int,type:string>>", "out string", LOGS, lambda d: listed(rv.merge_log(rows_of(d, "b"), rows_of(d, "k")), d, [F.col("start")], F.concat(span_text, F.lit(" "), F.col("reason"))), "M32")
+case_query(QUERIES, ORACLE, "merge_logs", "part", "p_partkey", "b array<struct<start:int,end:int,type:string>>, k array<struct<start:int,end:int,type:string>>", "out string", LOGS, lambda d: listed(rv.merge_log(rows_of(d, "b"), rows_of(d, "k")), d, [F.col("start")], F.concat(span_text(), F.lit(" "), F.col("reason"))), "M32")
 
 
 # -- evaluation -----------------------------------------------------------

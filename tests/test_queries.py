@@ -1,5 +1,9 @@
 """Every registered query of the reference's operators against its oracle at the smallest scale."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -34,3 +38,10 @@ def test_entry_without_extras():
 
     assert set(q.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_session():
+    """The driver may ask for the queries before it has a session."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=here, check=True, timeout=120)
