@@ -254,11 +254,6 @@ def packed_actions(actions: Column) -> Column:
     return F.array_sort(F.aggregate(order, start, step, lambda s: s["out"]))
 
 
-def quality(score: Column, n_sources: Column, hard_supports: Column, flags: Column) -> Column:
-    """What an entity is worth in a choice: its score, more for agreement, less for flags."""
-    return score + 0.05 * n_sources + 0.10 * hard_supports - 0.05 * flags
-
-
 def merge_log(before: DataFrame, kept: DataFrame) -> DataFrame:
     """``(record_id, start, end, type, reason)``: why entities left a choice, by what overlapped them."""
     gone = before.join(kept.select("record_id", "start", "end", "type"), ["record_id", "start", "end", "type"], "left_anti")

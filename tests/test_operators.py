@@ -1,5 +1,7 @@
 import itertools
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from notelink.functions import drug as dg
@@ -11,6 +13,8 @@ from notelink.operators import output as ou
 from notelink.operators import repairs as re_
 from notelink.operators import batching as ba
 from notelink.operators import linking as ln
+from notelink.operators import corpus as co
+from notelink.operators import generation as ge
 from notelink.operators import notes as no
 from notelink.operators import spans as sp
 from notelink.operators import vocabulary as vo
@@ -232,3 +236,16 @@ def test_repairs(spark):
         assert [(e.text, e.type, e.assertions) for e in got[i].entities] == want, i
     assert got[98].reason == "unknown_type" and got[5].log == [] and "split_lab" in got[0].log
     assert got[99].entities[0].assertions == [an.HISTORICAL] and got[99].log == ["history_section"]
+
+
+def test_type_list():
+    assert co.type_list("scd, SBD,scd", [*co.PRIMARY, *co.PACKS]) == ["SCD", "SBD"]
+    for wrong in ("", "XX", "SCD,XX"):
+        with pytest.raises(ValueError):
+            co.type_list(wrong, co.PRIMARY)
+
+
+def test_hooks():
+    assert ge.hook("segment", str.split)("a b") == ["a", "b"] and ge.hook("segment") is str.split
+    with pytest.raises(KeyError):
+        ge.hook("nothing")
