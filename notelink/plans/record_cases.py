@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import answers as an
 from ..operators import batching as ba
 from ..operators import generation as ge
 from ..operators import repairs as rp
@@ -268,3 +269,34 @@ def packed_prompts(spark, sf):
 
 PLACES = [(("a\\Eb a\\Eb", "\\E"), ("1,6",)), (("x.y.z", "."), ("1,3",)), (("ho ho ho", "ho"), ("0,3,6",)), (("ho", "sốt"), ("",)), (("(a)(a)", "(a)"), ("0,3",))]
 case_query(QUERIES, ORACLE, "occurrences", "part", "p_partkey", "text string, needle string", "out string", PLACES, lambda d: d.select("key", F.array_join(F.filter(sp.occurrences(F.col("text"), F.col("needle")), lambda x: F.instr("text", F.col("needle")) > 0).cast("array<string>"), ",").alias("out")), "W3")
+
+# -- answers of a model ---------------------------------------------------
+
+VALUES = [
+    (('Here:\n```json\n{"b": [1, 2,], "a": "}"}\n```',), ('{"a":"}","b":[1,2]}',)), (("none",), (None,)), (('{broken {"a": 1} tail',), ('{"a":1}',)), (("[1, [2]] {}",), ("[1,[2]]",)), ((None,), (None,)), (('x {"a": "[{"} y',), ('{"a":"[{"}',)), (('{"a": 1} ```\n[2]\n```',), ("[2]",)),
+]
+case_query(QUERIES, ORACLE, "first_values", "part", "p_partkey", "text string", "value string", VALUES, lambda d: d.select("key", an.first_value("text").alias("value")), "X28, X29")
+
+DECISIONS = [
+    (("p", an.ADD, DRUG, [], "HIGH", an.ADD_REASON), (None,)), (("", an.ADD, DRUG, [], "HIGH", an.ADD_REASON), ("no_proposal_id",)), (("p", None, DRUG, [], "HIGH", an.ADD_REASON), ("no_decision",)), (("p", "IGNORE", "X", [], None, None), ("unknown_type",)),
+    (("p", "IGNORE", None, ["x"], None, None), ("unknown_assertion",)), (("p", "IGNORE", None, None, "SURE", None), ("unknown_confidence",)), (("p", an.ADD, DRUG, [], "MEDIUM", an.ADD_REASON), ("add_needs_type_confidence_reason",)), (("p", an.ADD, None, [], "HIGH", an.ADD_REASON), ("add_needs_type_confidence_reason",)),
+    (("p", an.ADD, DRUG, [], "HIGH", "AMBIGUOUS"), ("add_needs_type_confidence_reason",)), (("p", an.ADD, TEST, [NEGATED], "HIGH", an.ADD_REASON), ("assertions_on_other_type",)), (("p", "IGNORE", None, None, None, None), (None,)),
+]
+case_query(QUERIES, ORACLE, "decision_errors", "part", "p_partkey", "proposal_id string, decision string, type string, assertions array<string>, confidence string, reason_code string", "error string", DECISIONS, lambda d: d.select("key", an.decision_error(F.struct(*[c for c in d.columns if c != "key"])).alias("error")), "M42, M23")
+
+_p = lambda i, s, e, text, types=(DRUG,), ok=True, bad=False: (i, s, e, text, list(types), ok, bad)
+APPLIED = [
+    (([], [_p("a", 0, 2, "ho"), _p("b", 0, 2, "ho")], [("a", an.ADD, DRUG), ("b", an.ADD, DRUG), ("a", an.ADD, DRUG), ("z", an.ADD, DRUG)]), ("a:added|b:duplicate|a:unknown_or_repeated|z:unknown_or_repeated",)),
+    (([(0, 6, DRUG)], [_p("a", 3, 6, "sốt"), _p("b", 3, 6, "sốt", (SYMPTOM,))], [("a", an.ADD, DRUG), ("b", an.ADD, SYMPTOM)]), ("a:covered|b:unsafe_overlap",)),
+    (([], [_p("a", 3, 6, "sốt", (SYMPTOM,)), _p("b", 0, 2, "ho", ok=False, bad=True), _p("c", 0, 2, "hx")], [("a", an.ADD, DRUG), ("b", an.ADD, DRUG), ("c", an.ADD, DRUG)]), ("a:type_not_allowed|b:insufficient_support+structural_negative|c:not_exact",)),
+    (([], [_p("a", 0, 2, "ho"), _p("b", 3, 6, "sốt")], [("a", an.UNRESOLVED, None), ("b", "IGNORE", None)]), ("a:unresolved|b:ignored",)),
+    (([], [], []), ("",)),
+]
+
+
+def _applied(d: DataFrame) -> DataFrame:
+    out = an.applied_decisions(F.lit("ho sốt"), F.col("e"), F.col("p"), F.col("d"))
+    return d.select("key", F.array_join(F.transform(out, lambda x: F.concat_ws(":", x["proposal_id"], x["outcome"])), "|").alias("out"))
+
+
+case_query(QUERIES, ORACLE, "applied_decisions", "part", "p_partkey", f"e {an.SPAN}, p array<struct<proposal_id:string,start:int,end:int,text:string,types:array<string>,supported:boolean,flagged:boolean>>, d array<struct<proposal_id:string,decision:string,type:string>>", "out string", APPLIED, _applied, "X25")
