@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK, KIND, column, dealt, keyed, sliced, table, value, with_block, written
 
-FOLDS, HELD_FOLD, BLOCK_BYTES, WORDS_PER_TASK = 5, 1, 6_000_000, 20_000
+FOLDS, HELD_FOLD, BLOCK_BYTES, WORDS_PER_TASK = 5, 1, 16_000_000, 20_000
 EM_STEPS, PRIOR, OWN_STEPS, START_REST, END_SPELLED = 2, 2000.0, 4, 0.1, 1e-3
 
 TINY = -1e30
