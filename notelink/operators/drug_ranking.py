@@ -9,12 +9,15 @@ shuffle is by mention.  Ties go to the smaller ``rxcui``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.drug import normalized
 from ..functions.similarity import best_guarded
+from ..functions.text import let
 
 PRODUCTS = ["SCD", "SBD", "GPCK", "BPCK"]
 BARE = ["IN", "PIN", "MIN", "BN"]
@@ -57,7 +60,9 @@ def amounts(strengths: Column) -> Column:
     found = F.flatten(F.transform(strengths, lambda x: F.regexp_extract_all(normalized(x), F.lit(_AMOUNT), F.lit(0))))
 
     def one(m: Column) -> Column:
-        unit = F.regexp_extract(m, "[a-z]+$", 0)
+        return let(F.regexp_extract(m, "[a-z]+$", 0), lambda unit: of_unit(m, unit))
+
+    def of_unit(m: Column, unit: Column) -> Column:
         factor = F.when(unit == "mcg", F.lit("0.001")).when(unit.isin("g", "gm"), F.lit("1000")).otherwise(F.lit("1")).cast("decimal(10,3)")
         value = (F.regexp_extract(m, _AMOUNT, 1).cast("decimal(20,6)") * factor).cast("decimal(30,9)")
         return F.struct(value.alias("value"), F.when(unit.isin("mcg", "mg", "g", "gm"), "mass").otherwise(F.regexp_replace(unit, "s$", "")).alias("family"))
@@ -66,7 +71,10 @@ def amounts(strengths: Column) -> Column:
 
 
 def strength_relation(mention: Column, role: Column, forms: Column, candidate: Column) -> Column:
-    m, c = amounts(mention), amounts(candidate)
+    return let(F.struct(amounts(mention).alias("m"), amounts(candidate).alias("c")), lambda v: _strength_relation(v["m"], v["c"], mention, role, forms, candidate))
+
+
+def _strength_relation(m: Column, c: Column, mention: Column, role: Column, forms: Column, candidate: Column) -> Column:
     family = lambda f: F.transform(F.filter(m, lambda x: x["family"] == f), lambda x: x["value"])
     within = F.exists(c, lambda x: (F.size(family(x["family"])) >= 2) & x["value"].between(F.array_min(family(x["family"])), F.array_max(family(x["family"]))))
     below = F.exists(c, lambda x: (x["value"] > 0) & (x["value"] <= F.array_max(family(x["family"]))))
@@ -79,17 +87,20 @@ def strength_relation(mention: Column, role: Column, forms: Column, candidate: C
 
 def term_relation(mention: Column, candidate: Column) -> Column:
     """Terms agree if one holds the other."""
-    meets = F.exists(mention, lambda a: F.exists(candidate, lambda b: F.contains(normalized(a), normalized(b)) | F.contains(normalized(b), normalized(a))))
+    both = F.struct(F.transform(mention, normalized).alias("m"), F.transform(candidate, normalized).alias("c"))
+    meets = let(both, lambda v: F.exists(v["m"], lambda a: F.exists(v["c"], lambda b: F.contains(a, b) | F.contains(b, a))))
     none_m, none_c = F.size(mention) == 0, F.size(candidate) == 0
     return F.when(none_m & none_c, "both_missing").when(none_m, "candidate_more_specific").when(none_c, "mention_more_specific").when(meets, "exact").otherwise("conflict")
 
 
 def route_relation(route: Column, forms: Column, name: Column) -> Column:
-    hay = normalized(F.concat_ws(" ", forms, name))
-    out = F.lit("unknown")
-    for r in SUITS:
-        out = F.when((route == r) & hay.rlike("|".join(SUITS[r])), "exact").when((route == r) & hay.rlike("|".join(EXCLUDES[r])), "conflict").otherwise(out)
-    return out
+    def of(hay: Column) -> Column:
+        out = F.lit("unknown")
+        for r in SUITS:
+            out = F.when((route == r) & hay.rlike("|".join(SUITS[r])), "exact").when((route == r) & hay.rlike("|".join(EXCLUDES[r])), "conflict").otherwise(out)
+        return out
+
+    return let(normalized(F.concat_ws(" ", forms, name)), of)
 
 
 def component_scores(components: Column, names: Column, fuzzy: Column) -> Column:
@@ -183,6 +194,16 @@ def rank_drugs(candidates: DataFrame) -> DataFrame:
     return d.withColumn("margin", lead[0] - lead[1])
 
 
+def once_per_text(mentions: DataFrame, text: list[str], of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``of``, which reads only the columns ``text``, run once for each distinct value and joined back to all mentions that have it.
+
+    ``of`` takes the distinct values under a ``mention_id`` of their own and gives rows with that id.
+    """
+    key = F.struct(*text)
+    found = of(mentions.select(*text).distinct().withColumn("mention_id", key)).withColumnRenamed("mention_id", "_text")
+    return mentions.select("mention_id", key.alias("_key")).join(found, F.col("_key") == F.col("_text")).drop("_key", "_text")
+
+
 def predicted(ranked: DataFrame) -> DataFrame:
     """The one code of a mention that is safe to give: the only exact one, or a strong one alone or well ahead."""
     every = W.partitionBy("mention_id")

@@ -9,6 +9,7 @@ from notelink.functions import similarity as si
 from notelink.functions import text as tx
 from notelink.operators import assertions as an
 from notelink.operators import disease_ranking as di
+from notelink.operators import drug_ranking as dr
 from notelink.operators import output as ou
 from notelink.operators import repairs as re_
 from notelink.operators import batching as ba
@@ -89,6 +90,27 @@ def test_drug_parse(spark):
     assert got[5].warnings == ["generic_drug_class"] and got[6].warnings == ["missing_ingredient"]
 
 
+def test_once_per_text(spark):
+    """A text that many mentions share is worked on once, and each of them gets its rows; a null text too."""
+    seen = []
+
+    def of(texts):
+        seen.append(sorted(r.a or "" for r in texts.collect()))
+        return texts.select("mention_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"), F.coalesce(F.length("a"), F.lit(-1)).alias("n"))
+
+    rows = [(1, "x"), (2, "yy"), (3, "x"), (3, "x"), (4, None), (5, None)]
+    got = sorted(map(tuple, dr.once_per_text(spark.createDataFrame(rows, "mention_id long, a string"), ["a"], of).collect()))
+    assert seen == [["", "x", "yy"]]
+    assert got == sorted((i, k, len(t) if t else -1) for i, t in rows for k in (1, 2))
+
+
+def test_terms_in_turn(spark):
+    """Replacements that feed each other run in turn; a text that holds none stays as it is."""
+    texts = ["senna xr po 5 mg", "adrenalin ngày po 2 lần", "plain 5 mg", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(dg.normalized(F.col("t"))).collect()]
+    assert got == ["sennosides extended release 5 mg", "epinephrine", "plain 5 mg", "", None]
+
+
 def test_pack_quantity(spark):
     p = spark.createDataFrame([("{24 (drug A Oral Tablet) / 4 (inert Oral Tablet) } Pack", x) for x in ("drug A", "inert", "none")], "n string, i string")
     assert [r[0] for r in p.select(dg.pack_quantity(F.col("n"), F.col("i"))).collect()] == [24.0, 4.0, None]
