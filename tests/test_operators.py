@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import pytest
 
@@ -59,6 +60,18 @@ def test_intersection_or_union(spark):
     assert got == {("m", 2), ("n", 1), ("n", 2)}
 
 
+def test_covering_by_sets(spark, monkeypatch):
+    """Against all pairs: nulls, repeated rows, sets with members in several blocks; the parts are joined by distinct sets."""
+    monkeypatch.setattr(ln, "COVER_BLOCK", 4)
+    need = [(m, p) for m in range(40) for p in ("abc"[: m % 3 + 1] + "d" * (m == 7))] + [(40, None), (41, "a"), (41, None), (None, "a"), (5, "a"), (5, "a"), (42, "z")]
+    have = [(c, p) for c in range(30) for p in ("abcd"[c % 2 : c % 4 + 1])] + [(30, None), (31, "a"), (31, None), (None, "a"), (None, "b")]
+    of = lambda rows, k: {p for x, p in rows if x == k}
+    want = [(m, c) for m in {m for m, _ in need} - {None} for c in {c for c, _ in have} if None not in of(need, m) and of(need, m) <= of(have, c)]
+    df = ln.covering(spark.createDataFrame(need, "m long, p string"), spark.createDataFrame(have, "c long, p string"), "m", "p", "c")
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str) and df.columns == ["m", "c"]
+    assert not re.search(r"Aggregate \[m#\d+L?, c#", df._jdf.queryExecution().optimizedPlan().toString())  # no grouping of all pairs
+
+
 def test_schedule_is_best(spark):
     rows = [("r", 0, 5, 0.6), ("r", 4, 9, 0.9), ("r", 8, 12, 0.7), ("r", 5, 8, 0.3), ("r", 12, 13, 0.5)]
     got = sp.schedule(spark.createDataFrame(rows, "k string, start int, end int, score double"), "k").collect()
