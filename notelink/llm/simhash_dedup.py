@@ -21,10 +21,11 @@ any other; fewer than ``words`` words make one shingle; repeated rows link; a nu
 id joins its group but never names it; an empty table gives an empty result.
 
 :func:`keep_one`, the stage of the pipeline, takes documents whose sets of word shingles
-have a Jaccard similarity of 0.8 or more.  Such pairs differ in about ten bits of 64, more
-than partitions can search, so min-hash bands give its candidates (a pair at 0.8 is missed
-with odds of 3 in a million) and the sets themselves decide.  Other columns pass through,
-whatever their names.
+have a Jaccard similarity of 0.8 or more.  Fingerprints of the sets, linked as above at
+``STAGE_RADIUS`` bits, give its candidates.  A pair at 0.8 differs in about ten bits of 64
+and may lie beyond any radius that partitions can search, so min-hash bands add the pairs
+out of reach (a pair at 0.8 is missed by them with odds of 3 in a million).  The sets
+themselves decide.  Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import column, components, dealt, keyed, numbered, place, runs, sliced, table, value, written
 
 SEED, BITS, RADIUS, WORDS = 42, 64, 3, 3
-STAGE_WORDS, SIMILARITY = 5, 0.8
+STAGE_WORDS, SIMILARITY, STAGE_RADIUS = 5, 0.8, 7
 BANDS, BAND_ROWS, VERIFY_BLOCK = 32, 5, 1024
 LARGE_BUCKET = 2048
 ROW_COST, PAIR_COST = 1.0, 0.01  # a filed or probing row against a compared pair
@@ -65,7 +66,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
     """The signed 64-bit fingerprint."""
-    h = shingle_hashes(text, words)
+    return majority(shingle_hashes(text, words))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes have, signed; zero if there is none."""
     if not len(h):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
@@ -130,7 +135,7 @@ def plan(nodes: DataFrame, n: int, radius: int = RADIUS) -> list[tuple[int, int]
     for r in rows:
         both[r.i, r.j] = both[r.j, r.i] = r.n / max(n, 1)
     mean = np.diag(both).copy()
-    designs = [group_bits(mean, both, m) for m in range(2, radius + 2)]
+    designs = [group_bits(mean, both, m) for m in range(max(2, math.ceil((radius + 1) / 3)), radius + 2)]  # thresholds end at 2
     masks = [sum(1 << b for b in g) for d in designs for g in d]
     signed = [x - (1 << 64) if x >> 63 else x for x in masks]
     value = F.explode(F.array(*[F.struct(F.lit(k).alias("p"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for k, x in enumerate(signed)])).alias("x")
@@ -291,7 +296,7 @@ def _sets(words: int):
         for b in batches:
             sets = [np.unique(shingle_hashes(t, words)) for t in column(b, "text").to_pylist()]
             nodes = pa.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([column(b, "row"), column(b, "id"), column(b, "th"), nodes, pa.array([_bands(h) for h in sets], pa.list_(pa.int64()))], names=["row", "id", "th", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([column(b, "row"), column(b, "id"), column(b, "th"), nodes, pa.array([majority(h) for h in sets], pa.int64()), pa.array([_bands(h) for h in sets], pa.list_(pa.int64()))], names=["row", "id", "th", "node", "fp", "bands"])
 
     return fn
 
@@ -345,16 +350,18 @@ def _similar(words: int, similarity: float):
     return fn
 
 
-def similar_rows(rows: DataFrame, words: int, similarity: float) -> DataFrame:
+def similar_rows(rows: DataFrame, words: int, similarity: float, radius: int = STAGE_RADIUS) -> DataFrame:
     """``(row, id, th, root)`` for rows ``(row, id, text)``: groups of the pairs at ``similarity`` or more.
 
-    Rows that share a band become candidates; star edges join them to candidate groups.
+    Rows whose fingerprints link, or that share a band, become candidates; star edges join
+    them to candidate groups.
     Each pair of such a group is then held against the similarity of the two sets, in
     blocks of bounded size, so nothing is united without that check.
     """
-    sets = written(rows.withColumn("th", F.xxhash64("text")).mapInArrow(_sets(words), "row long, id long, th long, node long, bands array<long>"), "sets")
-    classes = written(sets.groupBy("node").agg(F.min_by("bands", "row").alias("bands"), F.min("row").alias("row")), "setclasses")
-    filed = classes.select("node", F.explode("bands").alias("v"))
+    sets = written(rows.withColumn("th", F.xxhash64("text")).mapInArrow(_sets(words), "row long, id long, th long, node long, fp long, bands array<long>"), "sets")
+    classes = written(sets.groupBy("node").agg(F.min_by("bands", "row").alias("bands"), F.min_by("fp", "row").alias("fp"), F.min("row").alias("row")), "setclasses")
+    linked = classes.select("node", "fp").join(near_fingerprints(classes, radius).select(F.col("node").alias("fp"), "root"), "fp", "left")
+    filed = classes.select("node", F.explode("bands").alias("v")).unionByName(linked.select("node", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("v")))
     least = filed.groupBy("v").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     met = written(components(filed.join(least, "v").where("node <> a").select("a", F.col("node").alias("b")), "metcc"), "met")
     sizes = met.groupBy("root").agg(F.ceil(F.count("*") / VERIFY_BLOCK).cast("int").alias("blocks"))
@@ -362,7 +369,7 @@ def similar_rows(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     at = at.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("root", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "node", "row")
     at = at.join(rows.select("row", "text"), "row").drop("row").withColumn("b", F.xxhash64("root", "i", "j"))
     edges = dealt(at, "b", "root", "i", "j").drop("b").mapInArrow(_similar(words, similarity), "a long, b long")
-    return sets.drop("bands").join(components(edges, "simcc"), "node", "left").select("row", "id", "th", F.coalesce("root", "node").alias("root"))
+    return sets.drop("bands", "fp").join(components(edges, "simcc"), "node", "left").select("row", "id", "th", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

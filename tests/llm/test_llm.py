@@ -167,6 +167,31 @@ def test_similar_stage(spark, monkeypatch):
     assert far and got == sorted(set(brute_components(len(texts), linked)))
 
 
+@pytest.mark.parametrize("radius", [5, 7])
+def test_wide_radius(spark, radius):
+    """Fingerprints at more bits than two partitions with thresholds up to 2 can hold, against all pairs."""
+    rng = np.random.default_rng(radius)
+    fps = [int(x) for x in rng.integers(0, 2**62, 60)]
+    fps += [f ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(1, 10), replace=False)) for f in fps for _ in range(3)]
+    fps = sorted(set(fps))
+    want = brute_components(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= radius])
+    got = {r.node: r.root for r in simhash_dedup.near_fingerprints(spark.createDataFrame([(f,) for f in fps], "fp long"), radius).collect()}
+    assert [got.get(f, f) for f in fps] == [fps[r] for r in want]
+
+
+def test_stage_takes_fingerprints(spark, monkeypatch):
+    """Candidates of the near-duplicate stage come from linked fingerprints, and the sets decide: no band, and still the near copy goes."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash_dedup, "_bands", lambda h: [])
+    words = [f"w{i}" for i in range(400)]
+    near, far = [*words[:200], "x", *words[201:]], [f"v{i}" for i in range(400)]
+    sets = [simhash_dedup.shingle_hashes(" ".join(t), 5) for t in (words, near)]
+    assert 0 < (simhash_dedup.majority(sets[0]) ^ simhash_dedup.majority(sets[1])).bit_count() <= simhash_dedup.STAGE_RADIUS
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([words, near, far])] + [(3, "a b c"), (4, "d e f")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs, SF).collect()) == [0, 2, 3, 4]
+
+
 def test_keep_one_rows(spark):
     """Different texts under a null or shared id all stay; of a group one row stays."""
     x, y, z = ("alpha beta gamma delta", "one two three four", "red green blue black")
