@@ -72,6 +72,15 @@ def test_covering_by_sets(spark, monkeypatch):
     assert not re.search(r"Aggregate \[m#\d+L?, c#", df._jdf.queryExecution().optimizedPlan().toString())  # no grouping of all pairs
 
 
+def test_covering_opens_blocks_in_two_stages(spark):
+    """All pairs of 600 and 5000, in several blocks each; one compiled stage for both loops would keep the pairs of two blocks on the heap."""
+    need, have = (spark.range(n).selectExpr(f"id as {k}", "'a' as p") for n, k in ((600, "m"), (5000, "c")))
+    df = ln.covering(need, have, "m", "p", "c")
+    assert len(df.collect()) == len({*map(tuple, df.collect())}) == 600 * 5000
+    stages = re.findall(r"\*\((\d+)\) Generate explode\(_[mc]#", df._jdf.queryExecution().executedPlan().toString())
+    assert len(stages) == 2 == len({*stages})
+
+
 def test_schedule_is_best(spark):
     rows = [("r", 0, 5, 0.6), ("r", 4, 9, 0.9), ("r", 8, 12, 0.7), ("r", 5, 8, 0.3), ("r", 12, 13, 0.5)]
     got = sp.schedule(spark.createDataFrame(rows, "k string, start int, end int, score double"), "k").collect()
